@@ -90,7 +90,7 @@ class Hasher:
 
 
 _SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Words:
