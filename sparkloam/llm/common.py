@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,17 +26,41 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is chosen here only where that is
-    unset, as in tests. The written files outlive any executor.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or one chosen here where that is unset, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloam-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver's collector has found them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder and cut its lineage. The files outlive any executor."""
+    _shared(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    del df
+    _release(done.sparkSession)
+    return done
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, for wide rows: a compressed table of which later steps read single columns.
+
+    It lies in a folder of this application's own under the shared folder.
+    """
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/sparkloam-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    _release(spark)
+    return spark.read.parquet(path)
 
 
 def unused(stem: str, columns: list[str]) -> str:
