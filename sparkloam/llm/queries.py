@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, minhash, mixing, suffix_array
+from . import license_scan, minhash, mixing, quality, suffix_array
 from .common import prepare
 
 
@@ -24,6 +24,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.drop_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.reject_outliers(table(spark, sf_dir, "documents"), distance_column="distance")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op10_mix_sources": op10_mix_sources,
 }
