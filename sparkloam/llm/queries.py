@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, minhash, mixing, quality, suffix_array
+from . import bpe, html_extract, langid, license_scan, minhash, mixing, quality, suffix_array, url_filter
 from .common import prepare
 
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_filter.labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(pages, F.col("good")).select("page_id", "url", "template", "purity", "rejected")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.drop_near_copies(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reject_outliers(table(spark, sf_dir, "documents"), distance_column="distance")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_unique(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -45,10 +54,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_extract": op6_html_extract,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
     "op10_mix_sources": op10_mix_sources,
