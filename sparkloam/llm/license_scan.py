@@ -3,14 +3,19 @@
 A unit (a line, or the document) and a template are compared by the Dice coefficient
 ``2 |A & B| / (|A| + |B|)`` over their sets of word bigrams. A coefficient of at least ``t`` needs
 ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``; these bounds prune the templates that a unit is
-compared with before any set is intersected. Templates are a short fixed list in this
+compared with before any set is intersected. It also needs more than ``|B| t / (2 - t)`` bigrams of the
+template in the unit, so of any larger number of the template's bigrams than the rest one is there: a few
+words and bigrams are chosen that so many of each template's bigrams contain, and texts and lines
+without any of these are passed over unsplit. Templates are a short fixed list in this
 module, so they are joined by broadcast; documents are neither sorted nor shuffled, only the few
 matches are.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +97,40 @@ def _bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def anchors(threshold: float) -> list[str]:
+    """Words and bigrams of which every text that matches any template has at least one."""
+    todo = []
+    for _, text in TEMPLATES:
+        b = _bigrams(text)
+        todo.append((b, len(b) - math.ceil(len(b) * threshold / (2 - threshold) - 1e-9) + 1))
+    chosen: list[str] = []
+
+    def has(bigram: str, anchor: str) -> bool:
+        return f" {anchor} " in f" {bigram} "
+
+    while True:
+        gain: dict[str, int] = {}
+        for b, need in todo:
+            left = [x for x in b if not any(has(x, a) for a in chosen)]
+            missing = need - (len(b) - len(left))
+            if missing > 0:
+                # Short words are in other texts too; they count with a neighbour only.
+                for c in {w for x in left for w in [x, *x.split()] if len(w) > 6}:
+                    gain[c] = gain.get(c, 0) + min(missing, sum(has(x, c) for x in left))
+        if not gain:
+            return chosen
+        chosen.append(max(gain, key=lambda c: (gain[c], len(c), c)))
+
+
+def _any_of(text: Column, phrases: list[str]) -> Column:
+    """Whether ``text`` contains one of ``phrases``. The lambda keeps ``text`` from being computed for each of them."""
+
+    def found(t: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in phrases])
+
+    return F.exists(F.array(text), found)
+
+
 def _unit_bigrams(unit: Column) -> Column:
     w = F.filter(F.split(unit, " "), lambda x: x != "")
     return F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
@@ -112,17 +151,16 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     licence counts once; an empty table gives an empty one; further columns are not read.
     """
     spark = docs.sparkSession
-    clean = F.regexp_replace(F.regexp_replace(F.lower("text"), _OTHER, " "), "licence", "license")
+    needed = anchors(threshold)
+    clean = F.replace(F.regexp_replace(F.lower("text"), _OTHER, " "), F.lit("licence"), F.lit("license"))
     # A text of a single line is one unit, not two.
-    lines = docs.select("doc_id", F.split(clean, "\n").alias("_lines"))
+    lines = docs.where(_any_of(clean, needed)).select("doc_id", F.split(clean, "\n").alias("_lines"))
     units = lines.select(
         "doc_id",
         F.posexplode(F.when(F.size("_lines") > 1, F.concat(F.col("_lines"), F.array(F.array_join("_lines", " ")))).otherwise(F.col("_lines"))).alias("_no", "_unit"),
     )
-    # A set of at least the least bound's size needs that many words: short units go before any set is built.
     small = templates(spark, threshold)
-    least = int(min(len(_bigrams(t)) * threshold / (2 - threshold) for _, t in TEMPLATES))
-    units = units.where(F.length("_unit") > 2 * least).select("doc_id", "_no", _unit_bigrams(F.col("_unit")).alias("_a"))
+    units = units.where(_any_of(F.col("_unit"), needed)).select("doc_id", "_no", _unit_bigrams(F.col("_unit")).alias("_a"))
     met = units.join(F.broadcast(small), (F.size("_a") >= F.col("_lo")) & (F.size("_a") <= F.col("_hi")))
     met = met.withColumn("score", F.lit(2.0) * F.size(F.array_intersect("_a", "_t")) / (F.size("_a") + F.size("_t")))
     return met.where(F.col("score") >= threshold).groupBy("doc_id", "license").agg(F.max("score").alias("score"), F.countDistinct("_no").alias("units"))
