@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, license_scan, minhash, mixing, quality, suffix_array, url_filter
+from . import ann, bpe, html_extract, langid, license_scan, minhash, mixing, quality, suffix_array, url_filter
 from .common import prepare
 
 
@@ -49,6 +49,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.domain_of(F.col("source")), mixing.WEIGHTS)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extract": op6_html_extract,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_mix_sources": op10_mix_sources,
 }
 
