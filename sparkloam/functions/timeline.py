@@ -69,7 +69,7 @@ def end(timeline: Column) -> Column:
 def span(timeline: Column) -> Column:
     """From first start to last end, gaps included; 0 for an empty set."""
     wide = end(timeline).cast("decimal(20,0)") - start(timeline).cast("decimal(20,0)")
-    return F.coalesce(F.least(wide, F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long"), F.lit(0).cast("long"))
+    return F.when(wide.isNull(), F.lit(0).cast("long")).otherwise(F.least(wide, F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long"))
 
 
 def length(timeline: Column) -> Column:
