@@ -2,7 +2,6 @@ import uuid
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkloam.operators.filters import BoolFilter, DateTimeFilter, Filter, I64Filter, StringFilter
 from sparkloam.operators.predicates import condition
