@@ -16,18 +16,17 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import cut, unused
+from .common import store, unused
 
 #: Words whose codes are kept in a literal.
 CACHE = 262_144
-#: Entries per map of a literal, on average.
-_PER_MAP = 4
 
 #: White space is Unicode's, as the vocabulary's own pattern has it.
 _WS = r"\p{IsWhite_Space}"
@@ -46,26 +45,21 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def _constant(spark: SparkSession, value: list, kind: str) -> Column:
-    """``value``, an array, as one literal in Spark's binary row format.
+def _constant(rows: DataFrame) -> Column:
+    """The one value of ``rows``, an array, as a literal in Spark's binary row format.
 
     Catalyst compares, prints and ships it as a block of bytes; as nested literals or JSON text the same
     tables would take the optimiser seconds for every mention.
     """
-    plan = spark.createDataFrame([(value,)], f"x {kind}").coalesce(1)._jdf.queryExecution()
+    plan = rows._jdf.queryExecution()
     data = plan.executedPlan().executeCollect()[0].getArray(0)
-    jvm = spark._jvm.org.apache.spark.sql
+    jvm = rows.sparkSession._jvm.org.apache.spark.sql
     literal = jvm.catalyst.expressions.Literal(data, plan.analyzed().schema().apply(0).dataType())
     return ClassicColumn(jvm.classic.ExpressionUtils.column(literal))
 
 
-def _literal(spark: SparkSession, entries: dict[str, object], kind: str) -> tuple[Column, int]:
-    """An array of maps, and its length; a key lies in the map that its CRC gives."""
-    n = max(1, len(entries) // _PER_MAP)
-    maps: list[dict] = [{} for _ in range(n)]
-    for k, v in entries.items():
-        maps[zlib.crc32(k.encode()) % n][k] = v
-    return _constant(spark, maps, f"array<map<string,{kind}>>"), n
+def _values(spark: SparkSession, value: list, kind: str) -> Column:
+    return _constant(spark.createDataFrame([(value,)], f"x {kind}").coalesce(1))
 
 
 def _lookup(table: tuple[Column, int], key: Column) -> Column:
@@ -73,54 +67,66 @@ def _lookup(table: tuple[Column, int], key: Column) -> Column:
     return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % n).cast("int")), key)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, as the variable of a lambda over one element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _joined(*parts: Column) -> Column:
+    """Concatenation of arrays; within lambdas ``flatten`` is several times as fast as ``concat``."""
+    return F.flatten(F.array(*parts))
+
+
 def as_latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
+_NONE = 2**31 - 1
+
+
 class Codec:
-    """Column expressions of one vocabulary."""
+    """Column expressions of one vocabulary, whose ids are its ranks, from 0 without a gap."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]) -> None:
         if {bytes([b]) for b in range(256)} - ranks.keys():
             raise ValueError("a byte-level vocabulary has a piece for every byte")
-        self.ranks = _literal(spark, {piece.decode("latin-1"): rank for piece, rank in ranks.items()}, "int")
-        self.cached: tuple[Column, int] | None = None
-        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("ranks count up from 0")
+        n = len(ranks)
+        whole: list[dict] = [{} for _ in range(n)]
         for piece, rank in ranks.items():
-            pieces[rank] = piece.decode("latin-1")
-        self.pieces = _constant(spark, pieces, "array<string>")
+            key = piece.decode("latin-1")
+            whole[zlib.crc32(key.encode()) % n][key] = rank
+        self.whole = _values(spark, whole, "array<map<string,int>>"), n
+        self.pieces = _values(spark, [p.decode("latin-1") for p in sorted(ranks, key=ranks.__getitem__)], "array<string>")
+        self.cached: tuple[Column, int] | None = None
 
     def rank(self, piece: Column) -> Column:
-        return _lookup(self.ranks, piece)
+        return _lookup(self.whole, piece)
 
     def fold(self, word: Column) -> Column:
         """Ids of one word, given byte for character."""
 
-        def merge(pieces: Column) -> Column:
-            ranked = F.transform(pieces, lambda x, i: F.struct(F.coalesce(self.rank(F.concat(x, F.get(pieces, i + 1))), F.lit(2**31 - 1)).alias("r"), i.alias("i")))
-            # A lambda over one element names a value, so that it is computed once.
-            done = F.transform(
-                F.array(F.array_min(ranked)),
-                lambda b: F.when(
-                    b.getField("r") < 2**31 - 1,
-                    F.concat(
-                        F.slice(pieces, 1, b.getField("i")),
-                        F.array(F.concat(F.get(pieces, b.getField("i")), F.get(pieces, b.getField("i") + 1))),
-                        F.slice(pieces, b.getField("i") + 3, F.size(pieces)),
-                    ),
-                ),
-            )
-            return F.get(done, F.lit(0))
-
         def step(state: Column, _: Column) -> Column:
-            merged = F.transform(F.array(merge(state.getField("p"))), lambda m: F.struct(F.coalesce(m, state.getField("p")).alias("p"), m.isNull().alias("end")))
-            return F.when(state.getField("end"), state).otherwise(F.get(merged, F.lit(0)))
+            p = state.getField("p")
+            # Ranks of all neighbours, joined; the least decides, the leftmost of equal ones.
+            ranked = F.transform(p, lambda x, i: F.coalesce(self.rank(F.concat(x, F.get(p, i + 1))), F.lit(_NONE)))
+
+            def at(r: Column) -> Column:
+                def put(i: Column) -> Column:
+                    both = F.concat(F.get(p, i - 1), F.get(p, i))
+                    return F.struct(_joined(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"), F.lit(False).alias("end"))
+
+                best = F.array_min(r)
+                return F.when(best < _NONE, _let(F.array_position(r, best).cast("int"), put)).otherwise(F.struct(p.alias("p"), F.lit(True).alias("end")))
+
+            return F.when(state.getField("end"), state).otherwise(_let(ranked, at))
 
         single = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substring(word, i, F.lit(1)))
         turns = F.when(F.char_length(word) > 1, F.sequence(F.lit(2), F.char_length(word))).otherwise(F.array().cast("array<int>"))
-        folded = F.aggregate(turns, F.struct(single.alias("p"), F.lit(False).alias("end")), step)
-        whole = self.rank(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded.getField("p"), self.rank))
+        folded = F.aggregate(turns, F.struct(single.alias("p"), F.lit(False).alias("end")), step, lambda s: s.getField("p"))
+        whole = F.array(self.rank(word))
+        return _let(whole, lambda w: F.when(F.get(w, F.lit(0)).isNotNull(), w).otherwise(F.transform(folded, self.rank)))
 
     def encode(self, text: Column) -> Column:
         """Ids of a text; null for a null text."""
@@ -133,8 +139,9 @@ class Codec:
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ``ids`` stand for; null if an id is null or not of the vocabulary."""
-        known = F.forall(ids, lambda i: F.get(self.pieces, i).isNotNull())
-        return F.when(F.coalesce(known, F.lit(False)), F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1"))
+        other = "\uffff"  # no byte
+        joined = F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "", other)
+        return _let(joined, lambda j: F.when(~F.contains(j, F.lit(other)), F.encode(j, "ISO-8859-1")))
 
 
 def words(text: Column) -> Column:
@@ -142,16 +149,28 @@ def words(text: Column) -> Column:
 
 
 def codec(spark: SparkSession, docs: DataFrame, path: str | None = None, cache: int = CACHE) -> Codec:
-    """A codec whose cache holds the ``cache`` most frequent words of all of ``docs``."""
+    """A codec whose cache holds the most frequent words of all of ``docs``, at most ``cache`` and all that are as frequent as any of them."""
     made = Codec(spark, read_ranks(path or default_vocabulary()))
     if cache:
-        found = docs.select(F.explode(words(F.col("text"))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-        top = cut(found.orderBy(F.col("_n").desc(), "_w").limit(cache).select("_w"))
-        coded = top.repartition(8).select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c")).collect()
-        made.cached = _literal(spark, {r._w: list(r._c) for r in coded}, "array<int>")
+        found = store(docs.select(F.explode(words(F.col("text"))).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_n")))
+        # The frequency from which on there are few enough words: no sort of all of them, and no limit in one task.
+        sizes = Window.orderBy(F.col("_n").desc())
+        often = found.groupBy("_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", F.sum("_m").over(sizes))
+        least = often.where(F.col("_upto") <= cache).orderBy("_n").first()
+        if least is not None:
+            made.cached = _cache(spark, found.where(F.col("_n") >= least._n).repartition(8), made, least._upto)
     return made
 
 
+def _cache(spark: SparkSession, top: DataFrame, made: Codec, size: int) -> tuple[Column, int]:
+    n = max(1, size // 2)
+    coded = top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c"), (F.crc32(F.col("_w").cast("binary")) % n).alias("_b"))
+    maps = coded.groupBy("_b").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_c"))).alias("_m"))
+    slots = spark.range(n).withColumnRenamed("id", "_b").join(maps, "_b", "left")
+    one = slots.agg(F.array_sort(F.collect_list(F.struct("_b", "_m")), lambda x, y: (x["_b"] - y["_b"]).cast("int")).alias("_s"))
+    return _constant(one.select(F.transform("_s", lambda x: x["_m"]).alias("x"))), n
+
+
 def encode_documents(docs: DataFrame, *, path: str | None = None, cache: int = CACHE, check: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip): the ids of every text.
 
