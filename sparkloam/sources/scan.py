@@ -76,11 +76,9 @@ def scan(spark: SparkSession, spec: TableSpec, path: str, query: Mapping[str, An
     """``filter_table`` over a written table; asked for, ``start_at`` and ``end_at`` are those of a row's chunk."""
     stored = layout.read(spark, spec, path)
     if any(f in BOUNDS for f in fields):
-        meta = layout.chunk_metadata(stored, spec).drop("n")
         keys = [*spec.index, layout.CHUNK]
-        on = None
-        for k in keys:
-            same = stored[k].eqNullSafe(meta[k])
-            on = same if on is None else on & same
-        stored = stored.join(meta, on).select(*[stored[c] for c in stored.columns], *[meta[b] for b in BOUNDS])
+        meta = layout.chunk_metadata(stored, spec).select(*[F.col(f"`{k}`").alias(f"_of_{k}") for k in keys], *BOUNDS)
+        names = stored.columns
+        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`")) for k in keys]
+        stored = stored.join(meta, on).select(*[F.col(f"`{c}`") for c in names], *BOUNDS)
     return filter_table(stored, spec, query, fields, **how)
