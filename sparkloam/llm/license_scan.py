@@ -98,7 +98,10 @@ def _bigrams(text: str) -> list[str]:
 
 
 def anchors(threshold: float) -> list[str]:
-    """Words and bigrams of which every text that matches any template has at least one."""
+    """Words and bigrams of which every text that matches any template has at least one.
+
+    Words and bigrams of more than six characters are taken while they suffice, then any bigram.
+    """
     todo = []
     for _, text in TEMPLATES:
         b = _bigrams(text)
@@ -108,17 +111,25 @@ def anchors(threshold: float) -> list[str]:
     def has(bigram: str, anchor: str) -> bool:
         return f" {anchor} " in f" {bigram} "
 
+    longer = 6
     while True:
         gain: dict[str, int] = {}
+        uncovered = False
         for b, need in todo:
             left = [x for x in b if not any(has(x, a) for a in chosen)]
             missing = need - (len(b) - len(left))
             if missing > 0:
+                uncovered = True
                 # Short words are in other texts too; they count with a neighbour only.
-                for c in {w for x in left for w in [x, *x.split()] if len(w) > 6}:
+                for c in {w for x in left for w in ([x, *x.split()] if longer else [x]) if len(w) > longer}:
                     gain[c] = gain.get(c, 0) + min(missing, sum(has(x, c) for x in left))
         if not gain:
-            return chosen
+            if not uncovered:
+                return chosen
+            if not longer:
+                raise ValueError("no anchors cover all templates")
+            longer = 0
+            continue
         chosen.append(max(gain, key=lambda c: (gain[c], len(c), c)))
 
 
@@ -138,7 +149,8 @@ def _unit_bigrams(unit: Column) -> Column:
 
 def templates(spark: SparkSession, threshold: float) -> DataFrame:
     """One row per template: its bigrams and the sizes of the sets that can match it."""
-    rows = [(name, (b := _bigrams(text)), len(b) * threshold / (2 - threshold), len(b) * (2 - threshold) / threshold) for name, text in TEMPLATES]
+    # Bounds that are whole numbers may come out a little beyond them.
+    rows = [(name, (b := _bigrams(text)), len(b) * threshold / (2 - threshold) - 1e-9, len(b) * (2 - threshold) / threshold + 1e-9) for name, text in TEMPLATES]
     return spark.createDataFrame(rows, "license string, _t array<string>, _lo double, _hi double")
 
 
