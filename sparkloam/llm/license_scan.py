@@ -1,12 +1,14 @@
-"""Licence scans: every line of a document, and the whole of it, against licence templates.
+"""Licence scans: every line of a document, the whole of it, and its runs of words, against licence templates.
 
-A unit (a line, or the document) and a template are compared by the Dice coefficient
+A unit (a line, the document, or any run of its consecutive words) and a template are compared by the Dice coefficient
 ``2 |A & B| / (|A| + |B|)`` over their sets of word bigrams. A coefficient of at least ``t`` needs
 ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``; these bounds prune the templates that a unit is
 compared with before any set is intersected. It also needs more than ``|B| t / (2 - t)`` bigrams of the
 template in the unit, so of any larger number of the template's bigrams than the rest one is there: a few
 words and bigrams are chosen that so many of each template's bigrams contain, and texts and lines
-without any of these are passed over unsplit. Templates are a short fixed list in this
+without any of these are passed over unsplit. Runs find the licence that is wrapped over lines of a longer
+document, or stands within a longer line; they are walked for the few templates of which the document has so
+many bigrams. Templates are a short fixed list in this
 module, so they are joined by broadcast; documents are neither sorted nor shuffled, only the few
 matches are.
 """
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,28 +157,117 @@ def templates(spark: SparkSession, threshold: float) -> DataFrame:
     return spark.createDataFrame(rows, "license string, _t array<string>, _lo double, _hi double")
 
 
+@cache
+def _indexed(threshold: float) -> list[tuple[str, frozenset[str], float]]:
+    return [(name, frozenset(b := _bigrams(text)), len(b) * threshold / (2 - threshold) - 1e-9) for name, text in TEMPLATES]
+
+
+def runs(text: str, threshold: float) -> list[tuple[str, float]]:
+    """(licence, score) of each run of consecutive words that matches; ``text`` is words apart by one space.
+
+    Of runs of one licence that overlap, the best counts. A run also gives way to a better one of another
+    licence if more than half of the bigrams that it shares with its template are shared there as well.
+    """
+    w = text.split()
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    present = set(grams)
+    found = []
+    for name, b, least in _indexed(threshold):
+        if len(b & present) < least:
+            continue
+        most = len(b) * (2 - threshold) / threshold + 1e-9
+        # The best run begins and ends with bigrams of the template, and has the first of them once: a shorter one is as good.
+        # So a bigram is visited from the last places of at most ``most`` others: linear in the text.
+        for i, first in enumerate(grams):
+            if first not in b:
+                continue
+            seen: set[str] = set()
+            hits, best, end = 0, 0.0, i
+            for k in range(i, len(grams)):
+                g = grams[k]
+                if g in seen:
+                    if g == first:
+                        break
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if g in b:
+                    hits += 1
+                    score = 2.0 * hits / (len(seen) + len(b))
+                    if score > best:
+                        best, end = score, k
+                    if hits == len(b):
+                        break
+            if best >= threshold:
+                found.append((best, i, end, name, b))
+    found.sort(key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
+    taken: dict[str, list[int]] = {}
+    better: dict[str, list[float]] = {}
+    out = []
+    for score, i, end, name, b in found:
+        at = range(i, end + 1)
+        own = taken.setdefault(name, [0] * len(grams))
+        if any(own[k] for k in at):
+            continue
+        shared = [k for k in at if grams[k] in b]
+        if any(2 * sum(x[k] > score for k in shared) > len(shared) for n, x in better.items() if n != name):
+            continue
+        claim = better.setdefault(name, [0.0] * len(grams))
+        for k in at:
+            own[k] = 1
+        for k in shared:
+            claim[k] = score
+        out.append((name, score))
+    return out
+
+
+def _runs(text: Column, threshold: float) -> Column:
+    def found(x: pa.Array) -> pa.Array:
+        rows = [None if t is None else [{"license": n, "score": s} for n, s in runs(t, threshold)] for t in x.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64())])))
+
+    return F.arrow_udf(found, "array<struct<license: string, score: double>>")(text)
+
+
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, score, units): a licence that a document carries, the best Dice
     coefficient, and in how many units it was found, the whole document being one of them.
 
+    Units are lines and the whole; where none of these matches a licence, they are the runs of words
+    that do (see ``runs``).
+
     Defined cases: null, empty and one-word texts carry no licence; matches of rows that share a
     ``doc_id``, null among them, are reported together; a unit that matches two templates of one
     licence counts once; an empty table gives an empty one; further columns are not read.
     """
     spark = docs.sparkSession
     needed = anchors(threshold)
-    clean = F.replace(F.regexp_replace(F.lower("text"), _OTHER, " "), F.lit("licence"), F.lit("license"))
+
+    def clean(other: str) -> Column:
+        return F.replace(F.regexp_replace(F.lower("text"), other, " "), F.lit("licence"), F.lit("license"))
+
+    # Anchors may be broken by the end of a line, so they are looked for in the words of all lines.
+    whole = clean(r"[^\p{L}\p{N}]+")
+    lines = docs.where(_any_of(whole, needed)).select("doc_id", F.split(clean(_OTHER), "\n").alias("_lines"), whole.alias("_whole"))
+    lines = lines.withColumn("_runs", _runs(F.col("_whole"), threshold))
     # A text of a single line is one unit, not two.
-    lines = docs.where(_any_of(clean, needed)).select("doc_id", F.split(clean, "\n").alias("_lines"))
-    units = lines.select(
-        "doc_id",
-        F.posexplode(F.when(F.size("_lines") > 1, F.concat(F.col("_lines"), F.array(F.array_join("_lines", " ")))).otherwise(F.col("_lines"))).alias("_no", "_unit"),
-    )
+    kept = F.transform(F.when(F.size("_lines") > 1, F.concat(F.col("_lines"), F.array("_whole"))).otherwise(F.col("_lines")), lambda x, i: F.struct(i.alias("_no"), x.alias("_unit"), F.lit(None).cast("struct<license: string, score: double>").alias("_run")))
+    within = F.transform("_runs", lambda x: F.struct(F.lit(None).cast("int").alias("_no"), F.lit(None).cast("string").alias("_unit"), x.alias("_run")))
+    units = lines.select("doc_id", F.explode(F.concat(F.filter(kept, lambda x: _any_of(x["_unit"], needed)), within)).alias("_u")).select("doc_id", "_u.*")
     small = templates(spark, threshold)
-    units = units.where(_any_of(F.col("_unit"), needed)).select("doc_id", "_no", _unit_bigrams(F.col("_unit")).alias("_a"))
-    met = units.join(F.broadcast(small), (F.size("_a") >= F.col("_lo")) & (F.size("_a") <= F.col("_hi")))
-    met = met.withColumn("score", F.lit(2.0) * F.size(F.array_intersect("_a", "_t")) / (F.size("_a") + F.size("_t")))
-    return met.where(F.col("score") >= threshold).groupBy("doc_id", "license").agg(F.max("score").alias("score"), F.countDistinct("_no").alias("units"))
+    units = units.select("doc_id", "_no", "_run", _unit_bigrams(F.col("_unit")).alias("_a"))
+    # Runs have no bigrams here, so they meet no template and pass.
+    met = units.join(F.broadcast(small), F.col("_run").isNull() & (F.size("_a") >= F.col("_lo")) & (F.size("_a") <= F.col("_hi")), "left")
+    met = met.withColumn("_score", F.lit(2.0) * F.size(F.array_intersect("_a", "_t")) / (F.size("_a") + F.size("_t")))
+    met = met.where((F.col("_score") >= threshold) | F.col("_run").isNotNull())
+    found = met.groupBy("doc_id", F.coalesce("_run.license", "license").alias("license")).agg(
+        F.max(F.when(F.col("_run").isNull(), F.col("_score"))).alias("_score"), F.countDistinct("_no").alias("_units"),
+        F.max("_run.score").alias("_run_score"), F.count("_run").alias("_run_units"),
+    )
+    return found.select(
+        "doc_id", "license", F.coalesce("_score", "_run_score").alias("score"), F.when(F.col("_score").isNull(), F.col("_run_units")).otherwise(F.col("_units")).alias("units"),
+    )
 
 
 def oracle(threshold: float = THRESHOLD) -> str:

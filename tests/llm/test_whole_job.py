@@ -19,3 +19,47 @@ def test_licenses_at_the_threshold(spark):
         b = license_scan._bigrams(text)
         free = [x for x in b if not any(f" {a} " in f" {x} " for a in anchors)]
         assert len(free) < len(b) * 0.8 / 1.2 - 1e-9
+
+
+def test_licenses_within_longer_texts(spark):
+    import textwrap
+
+    prose = [f"Sentence {i} is about nothing in particular, number {i * i}." for i in range(80)]
+    full = {name: text for name, text in reversed(license_scan.TEMPLATES)}
+    rows, want = [], set()
+    for k, (name, text) in enumerate(full.items()):
+        rows.append((k, "\n".join([*prose, *(f" * {x}," for x in textwrap.wrap(text, 30)), *prose])))
+        want.add((k, name))
+    rows += [(100, " ".join([*prose, "Released under the", "MIT License.", *prose])), (101, "\n".join([*prose, "This work is licensed under the GNU General Public License, version 3, and so on, for a long line of prose of many words.", *prose]))]
+    want |= {(100, "MIT"), (101, "GPL-3.0")}
+    rows += [(102, "\n".join(prose)), (103, "the software license is under the terms of\n" * 3000), (104, "\n".join([*prose, "Released under\nthe MIT", "License.", *prose, "Released under the\nMIT License", *prose]))]
+    want.add((104, "MIT"))
+    got = {(r.doc_id, r.license): r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == want
+    assert all(got[x].score == 1 for x in want) and got[(104, "MIT")].units == 2
+
+
+def test_runs_are_brute_force():
+    import random
+
+    rng = random.Random(0)
+    for trial in range(40):
+        words = []
+        for _ in range(4):
+            w = license_scan.normal(rng.choice(license_scan.TEMPLATES[7:])[1]).split()
+            words += [rng.choice("abc") for _ in range(rng.randrange(4))] + [x for x in w if rng.random() < 0.97]
+        best = {}
+        for name, text in license_scan.TEMPLATES:
+            b = set(license_scan._bigrams(text))
+            for i in range(len(words)):
+                for j in range(i + 2, len(words) + 1):
+                    a = {f"{x} {y}" for x, y in zip(words[i:j], words[i + 1 : j])}
+                    s = 2.0 * len(a & b) / (len(a) + len(b))
+                    if s >= 0.8 and s > best.get(name, 0):
+                        best[name] = s
+        got = {}
+        for name, s in license_scan.runs(" ".join(words), 0.8):
+            got[name] = max(got.get(name, 0), s)
+        assert set(got) <= set(best) and all(got[n] <= best[n] for n in got)
+        top = max(best.values(), default=0)
+        assert {n for n, s in best.items() if s == top} == {n for n, s in got.items() if s == top}
