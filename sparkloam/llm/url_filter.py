@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, unused
 
-#: Fewest URLs, and least share of its siblings' URLs, with which a branch keeps a name of its own.
-SUPPORT, SUPPORT_SHARE = 5, 0.002
+#: Fewest URLs with which a branch keeps a name of its own, whatever its siblings have.
+SUPPORT = 5
 #: Largest test statistic and difference of mean depth with which a branch is like its siblings.
 ALIKE_Z, ALIKE_DEPTH = 2.58, 0.5
 #: Labels' worth of its host's purity that a template has, and of the table's that a host has.
@@ -63,7 +63,7 @@ def _level(paths: DataFrame, i: int) -> DataFrame:
     branches = at.groupBy("_host", "_prefix", "_seg").agg(F.sum("_n").alias("_n"), F.sum("_lab").alias("_lab"), F.sum("_good").alias("_good"), F.sum(below).alias("_deep"))
     w = Window.partitionBy("_host", "_prefix")
     branches = branches.select("*", *[F.sum(c).over(w).alias(f"{c}_all") for c in ("_n", "_lab", "_good", "_deep")], F.count(F.lit(1)).over(w).alias("_sib"))
-    rare = F.col("_n") < F.greatest(F.lit(float(SUPPORT)), SUPPORT_SHARE * F.col("_n_all"))
+    rare = F.col("_n") < SUPPORT
     others, pool = F.col("_lab_all") - F.col("_lab"), F.try_divide(F.col("_good_all"), F.col("_lab_all"))
     gap = F.abs(F.try_divide(F.col("_good"), F.col("_lab")) - F.try_divide(F.col("_good_all") - F.col("_good"), others))
     error = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("_lab")) + F.try_divide(F.lit(1.0), others)))

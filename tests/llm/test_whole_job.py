@@ -1,6 +1,8 @@
 """Cases that an operator once left out."""
 
-from sparkloam.llm import license_scan
+from pyspark.sql import functions as F
+
+from sparkloam.llm import license_scan, url_filter
 
 
 def test_licenses_at_the_threshold(spark):
@@ -63,3 +65,20 @@ def test_runs_are_brute_force():
         assert set(got) <= set(best) and all(got[n] <= best[n] for n in got)
         top = max(best.values(), default=0)
         assert {n for n, s in best.items() if s == top} == {n for n, s in got.items() if s == top}
+
+
+def test_branches_of_a_big_host_are_tested(spark):
+    def page(host, n, branch, good):
+        return spark.range(n).select(F.concat(F.lit(f"http://{host}/"), branch, F.lit("/p")).alias("url"), F.lit(good).alias("good"))
+
+    def host(name, size):
+        word = F.concat(F.lit("s"), F.translate((F.col("id") % 40).cast("string"), "0123456789", "abcdefghij"))
+        rows = page(name, size, word, 1).unionByName(page(name, 100, F.lit("junk"), 0))
+        for k in "abcdef":  # rare and clean
+            rows = rows.unionByName(page(name, 100, F.lit(f"rare{k}"), 1))
+        return rows
+
+    got = url_filter.filter_urls(host("small", 2_000).unionByName(host("big", 200_000)), F.col("good"))
+    junk = {(r.template, r.rejected) for r in got.where("url like '%/junk/%'").distinct().collect()}
+    assert junk == {("small/junk/p", True), ("big/junk/p", True)}
+    assert got.where("url not like '%/junk/%' and rejected").count() == 0
