@@ -39,7 +39,7 @@ STRETCH = 50
 
 SHARE = 0.75
 STEPS = 6
-#: A group of fewer documents is pooled with the others of its language, then with all others.
+#: Documents of a smaller group are judged among all of their language, or of the table.
 LEAST_GROUP = 200
 #: Characters, letters or words by which a ratio is drawn towards its group's.
 PRIOR = {"chars": 100.0, "letters": 100.0, "words": 20.0}
@@ -113,20 +113,21 @@ def chi2_point(q: float, df: int) -> float:
 
 
 def _strata(stats: DataFrame, least: int) -> DataFrame:
-    """(_lang, _source, _lang_to, _source_to): the group that each language and source is judged in.
+    """(_lang, _source, _group, _pools): the group that each language and source is judged in, and all that it is estimated in.
 
-    Small ones are pooled under a null source, then under a null language too; if all that is left is
-    still small, the group is missing here and rejects nobody.
+    Small ones are judged among all documents of their language, or of the whole table if these are few
+    too; in a smaller table the group is null and rejects nobody.
     """
     here = stats.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    big = F.col("_n") >= least
-    per_lang = here.where(~big).groupBy("_lang").agg(F.sum("_n").alias("_ln")).where(F.col("_ln") >= least)
-    other = here.where(~big).join(per_lang, "_lang", "left_anti").agg(F.sum("_n").alias("_on"))
-    here = here.join(per_lang, "_lang", "left").crossJoin(other)
-    level = F.when(big, 0).when(F.col("_ln").isNotNull(), 1).when(F.col("_on") >= least, 2)
-    return here.withColumn("_level", level).where(F.col("_level").isNotNull()).select(
-        "_lang", "_source",
-        F.concat_ws("\u0001", F.col("_level").cast("string"), F.when(F.col("_level") < 2, F.col("_lang")), F.when(F.col("_level") < 1, F.col("_source"))).alias("_group"),
+    per_lang = here.groupBy("_lang").agg(F.sum("_n").alias("_ln"), F.min("_n").alias("_few"))
+    whole = per_lang.agg(F.sum("_ln").alias("_on"), F.min("_ln").alias("_short"))
+    here = here.join(per_lang, "_lang").crossJoin(whole)
+    level = F.when(F.col("_n") >= least, 0).when(F.col("_ln") >= least, 1).when(F.col("_on") >= least, 2)
+    names = [F.concat_ws("\u0001", F.lit(str(k)), *[F.col(c) for c in ("_lang", "_source")[: 2 - k]]) for k in range(3)]
+    used = [F.col("_n") >= least, (F.col("_ln") >= least) & (F.col("_few") < least), (F.col("_on") >= least) & (F.col("_short") < least)]
+    return here.select(
+        "_lang", "_source", F.when(level == 0, names[0]).when(level == 1, names[1]).when(level == 2, names[2]).alias("_group"),
+        F.array_compact(F.array(*[F.when(u, x) for u, x in zip(used, names)])).alias("_pools"),
     )
 
 
@@ -195,7 +196,8 @@ def estimates(stats: DataFrame, share: float, steps_: int, least: int) -> DataFr
     small = strata.count() <= BROADCAST_GROUPS
     near = F.broadcast if small else (lambda x: x)
     at = {c: i for i, c in enumerate(COUNTS)}
-    known = stats.join(near(strata), ["_lang", "_source"])
+    # A document may count in its own group, its language and the whole table.
+    known = stats.join(near(strata.select("_lang", "_source", F.explode("_pools").alias("_group"))), ["_lang", "_source"])
     sums = known.groupBy("_group").agg(*[F.sum(F.get("_counts", F.lit(i))).alias(c) for c, i in at.items()])
     base = sums.select("_group", F.array(*[F.coalesce(F.try_divide(F.col(of), F.col(among)), F.lit(0.0)) for of, among, _ in RATIOS]).alias("_base"))
     base = cut(base)
@@ -215,7 +217,7 @@ def estimates(stats: DataFrame, share: float, steps_: int, least: int) -> DataFr
             *[F.sum(d[i]).alias(f"_s{i}") for i in range(P)], *[F.sum(d[i] * d[j]).alias(f"_s{i}_{j}") for i in range(P) for j in range(i + 1)],
         )
         found = cut(moments.groupBy("_group").applyInPandas(lambda key, rows: _concentrate(key, rows, share), _FOUND))
-    return cut(strata.join(base, "_group").join(found, "_group"))
+    return cut(strata.drop("_pools").join(base, "_group").join(found, "_group"))
 
 
 def reject_outliers(
@@ -223,9 +225,9 @@ def reject_outliers(
 ) -> DataFrame:
     """``docs`` without those whose distance from their group has a probability below ``tail``.
 
-    Groups of fewer than ``least_group`` documents are pooled with the other small ones of their language, then
-    of all languages; if these are still too few, nobody of them is rejected. ``distance_column`` adds
-    the squared distance (null in such a group), replacing a column of that name.
+    Documents of a group of fewer than ``least_group`` are judged among all of their language, or of the whole table if
+    these are too few; in a table of fewer, nobody is rejected. ``distance_column`` adds
+    the squared distance (null in such a table), replacing a column of that name.
 
     Defined cases: a null language or source is the empty name; a null or empty text has all counts zero and
     so lies at its group's mean ratios: it stays, there being nothing to judge; repeated rows are judged alike and all

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkloam.llm import license_scan, url_filter
+from sparkloam.llm import license_scan, quality, url_filter
 
 
 def test_licenses_at_the_threshold(spark):
@@ -82,3 +82,18 @@ def test_branches_of_a_big_host_are_tested(spark):
     junk = {(r.template, r.rejected) for r in got.where("url like '%/junk/%'").distinct().collect()}
     assert junk == {("small/junk/p", True), ("big/junk/p", True)}
     assert got.where("url not like '%/junk/%' and rejected").count() == 0
+
+
+def test_documents_of_small_groups_are_judged(spark):
+    import random
+
+    rng = random.Random(0)
+    words = ["river", "stone", "walked", "the", "a", "of", "evening", "and", "quiet", "under", "light", "found"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(120)) + "."
+    groups = [("en", "web", 400), ("en", "rare", 20), ("es", "web", 20), (None, None, 10)]
+    rows = [(prose(), lang, source, "prose") for lang, source, n in groups for _ in range(n)]
+    rows += [("#$% 0193 @@ {} 77 " * 60, lang, source, "junk") for lang, source, _ in groups[1:] for _ in range(4)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, kind string")
+    got = quality.reject_outliers(df, distance_column="distance").collect()
+    assert all(r.distance is not None and r.kind == "prose" for r in got)
+    assert len(got) > 440
