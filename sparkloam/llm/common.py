@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 2_000_000
@@ -27,40 +31,70 @@ def prepare(spark: SparkSession) -> None:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or one chosen here where that is unset, as in tests."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Only a session on one machine may leave it unset, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloam-checkpoint-"))
+        if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="sparkloam-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so once the driver's collector has found them unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver's collector has found them unused.
+
+    Events that still wait for their listeners hold the plans that they tell of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder and cut its lineage. The files outlive any executor."""
+    """Checkpoint ``df``, a small table, in the shared folder and cut its lineage. The files outlive any executor."""
     _shared(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    del df
-    _release(done.sparkSession)
-    return done
+    return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Like ``cut``, for wide rows: a compressed table of which later steps read single columns.
+    """Like ``cut``, for large tables: a compressed table of which later steps read single columns.
 
-    It lies in a folder of this application's own under the shared folder.
+    It lies in a folder of this application's own under the shared folder. What ``df`` has shuffled is freed.
     """
     spark = df.sparkSession
     path = f"{_shared(spark)}/sparkloam-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
     _release(spark)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the table of ``store``, of which nothing is read any more."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps count by their entries, whatever their order."""
+    parts = []
+    for field in docs.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        if kind.startswith("map<") and kind.count("map<") == 1 and "variant" not in kind:
+            c = F.array_sort(F.map_entries(c))
+        elif "map<" in kind or "variant" in kind:
+            c = F.to_json(F.struct(c.alias("c")))
+        parts.append(c)
+    return F.xxhash64(*parts)
 
 
 def unused(stem: str, columns: list[str]) -> str:

@@ -23,17 +23,17 @@ from .suffix_array import repeated_spans, without
 from .url_filter import host_of
 
 #: Tokens of a run that is boilerplate if it repeats, and of a fingerprint.
-LENGTH, GRAM = 12, 6
+LENGTH, GRAM = 12, 4
 
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)>", re.I)
+#: Comments, scripts and the like, and declarations, whichever begins first.
+_UNSEEN = r"(?is)<(?:!--(?:[^-]++|-(?!->))*+(?:-->|$)|(script|style|noscript|template)\b[^>]*+>(?:[^<]++|<(?!/\1\s*+>))*+(?:</\1\s*+>|$)|[!?][^>]*+>)"
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9:_-]*>")
 
 
 def stream_of(page: Column) -> Column:
     """The page's tokens, apart by spaces."""
-    page = F.regexp_replace(page, r"(?s)<!--.*?(?:-->|$)", " ")
-    page = F.regexp_replace(page, r"(?is)<(script|style|noscript|template)\b[^>]*+>.*?(?:</\1\s*+>|$)", " ")
-    page = F.regexp_replace(page, r"<[!?][^>]*+>", " ")
+    page = F.regexp_replace(page, _UNSEEN, " ")
     page = F.regexp_replace(page, r"""<(/?[A-Za-z][A-Za-z0-9:_-]*+)(?:[^'">]++|"[^"]*+"|'[^']*+')*+>""", " <$1> ")
     return page
 
@@ -41,7 +41,7 @@ def stream_of(page: Column) -> Column:
 def plain_text(stream: str) -> str:
     """Text of a stream: block tags end lines, other tags go, entities are resolved."""
     lines = _TAG.sub("", _BLOCK.sub("\n", stream)).split("\n")
-    return "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in lines) if x)
+    return "\n".join(x for x in (" ".join((html.unescape(line) if "&" in line else line).split()) for line in lines) if x)
 
 
 def _extract(stream: pa.Array, spans: pa.Array) -> pa.Array:

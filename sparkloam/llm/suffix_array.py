@@ -17,6 +17,7 @@ row there, and the marks of a context are joined back to its occurrences.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, Words, mix, steps, store, unused
+from .common import U64, Hasher, Words, discard, lists, mix, row_hash, steps, store, unused
 
 #: Words of a passage whose repeats go, and words of a fingerprint.
 LENGTH, GRAM = 50, 25
@@ -161,65 +162,208 @@ def _grams(hashes: np.ndarray, gram: int) -> np.ndarray:
 _LOW = U64((1 << 26) - 1)
 
 
-def winnow(words: Words, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the fingerprints: in each window of ``length`` words the last of the least hashes."""
+def winnow(words: Words, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first window, last window) of the fingerprints.
+
+    Each window of ``length`` words chooses the last of its least hashes, so equal windows choose alike; the windows
+    that choose one fingerprint follow each other.
+    """
     hashed = _grams(hashes, gram)
     width = length - gram + 1
+    none = np.zeros(0, np.int64)
     if len(hashed) < width:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return none, np.zeros(0, U64), none, none
     at = np.arange(len(hashed), dtype=U64)
     key = (hashed & ~_LOW) | (_LOW - (at & _LOW))
     least = _least(key, width)
     owner = words.owner()
-    inside = owner[: len(least)] == owner[length - 1 : length - 1 + len(least)]
-    begin = np.flatnonzero(inside)
+    begin = np.flatnonzero(owner[: len(least)] == owner[length - 1 : length - 1 + len(least)])
+    if not len(begin):
+        return none, np.zeros(0, U64), none, none
     low = _LOW - (least[begin] & _LOW)
     # The position's low bits, taken to the window that they lie in.
     chosen = begin + ((low.astype(np.int64) - begin) & int(_LOW))
-    chosen = np.unique(chosen)
-    return chosen, hashed[chosen]
+    edge = np.flatnonzero(chosen[1:] != chosen[:-1])
+    first = np.concatenate([[0], edge + 1])
+    last = np.concatenate([edge, [len(chosen) - 1]])
+    return chosen[first], hashed[chosen[first]], begin[first], begin[last]
+
+
+#: Fingerprints that a task gathers before it sends them on, by ranges of their values.
+FLUSH = 2_000_000
+_BLOB = [("_bin", pa.int32()), ("_blob", pa.binary()), ("_id", pa.int64()), ("_at", pa.list_(pa.int32()))]
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Low ``width`` bytes of unsigned 64-bit values, all first bytes before all second ones: what hardly varies compresses."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view("<u8").reshape(n)
+
+
+def _packed(f: np.ndarray, ids: np.ndarray, pos: np.ndarray, done: np.ndarray) -> bytes:
+    """Fingerprints cut to 48 bits, each with its text's number in a list of ids, its position, and whether it is asked for already."""
+    names, which = np.unique(ids, return_inverse=True)
+    raw = _planes(f >> U64(16), 6) + _planes(which.astype(U64), 4) + _planes((pos.astype(U64) << U64(1)) | done.astype(U64), 5) + names.tobytes()
+    head = np.array([len(f), len(names), len(raw)], np.int64).tobytes()
+    return head + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m, size = np.frombuffer(blob[:24], np.int64).tolist()
+    raw = np.frombuffer(pa.decompress(blob[24:], size, "zstd", asbytes=True), np.uint8)
+    which = _unplanes(raw[6 * n : 10 * n], n, 4).astype(np.int64)
+    pos = _unplanes(raw[10 * n : 15 * n], n, 5)
+    return _unplanes(raw[: 6 * n], n, 6), raw[15 * n :].view(np.int64)[which], (pos >> U64(1)).astype(np.int64), (pos & U64(1)) == 1
+
+
+def _asked(ids: np.ndarray, pos: np.ndarray, bins: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per text: the positions of its fingerprints that repeat."""
+    by = np.lexsort((pos, ids))
+    ids, pos = ids[by], pos[by]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    at = lists(pos.astype(np.int32), np.append(first, len(ids)))
+    n = len(first)
+    where = pa.nulls(n, pa.int32()) if bins is None else pa.array(bins[:n].astype(np.int32))
+    return pa.RecordBatch.from_arrays([where, pa.nulls(n, pa.binary()), pa.array(ids[first]), at], schema=pa.schema(_BLOB))
+
+
+def _shares(f: np.ndarray) -> np.ndarray:
+    """Number of each run of equal values of ``f``, which ascends."""
+    return np.cumsum(np.concatenate([[False], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+
+
+def _varies(number: np.ndarray, ids: np.ndarray, pos: np.ndarray, places: bool) -> np.ndarray:
+    """Whether a run has occurrences in several texts, or in several places of one."""
+    head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    other = ids != ids[head][number]
+    if places:
+        other |= pos != pos[head][number]
+    return np.logical_or.reduceat(other, head) if len(head) else np.zeros(0, bool)
+
 
+def _prints(batches: Iterator[pa.RecordBatch], length: int, gram: int, bins: int, places: bool) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of a task's texts, packed by ranges of their values.
 
-def _prints(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    Fingerprints that repeat within the task are asked for at once, and sent on as one occurrence: so what meets at a
+    range grows with the tasks that hold a fingerprint, not with its occurrences.
+    """
     hasher = Hasher()
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        f, ids, pos = (np.concatenate(x) for x in zip(*held))
+        by = np.argsort(f, kind="stable")
+        f, ids, pos = f[by], ids[by], pos[by]
+        number = _shares(f >> U64(16))
+        often = _varies(number, ids, pos, places)[number]
+        # Which range a row travels with is of no matter; it is spread.
+        yield _asked(ids[often], pos[often], np.arange(len(f)) % bins)
+        head = np.concatenate([[True], number[1:] != number[:-1]])
+        f, ids, pos, often = f[head], ids[head], pos[head], often[head]
+        edge = np.append(np.searchsorted(f, np.array([b * 2**64 // bins for b in range(bins)], U64)), len(f))
+        rows = [b for b in range(bins) if edge[b + 1] > edge[b]]
+        blobs_ = [_packed(*(x[edge[b] : edge[b + 1]] for x in (f, ids, pos, often))) for b in rows]
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs_, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, _BLOB[3][1])], schema=pa.schema(_BLOB))
+
     for batch in batches:
         scopes = batch.column("_scope").to_numpy(zero_copy_only=False).view(np.uint64)
+        ids = batch.column("_id").to_numpy(zero_copy_only=False)
         for i, j, data, offsets in steps(batch.column("_text")):
             words = Words(data, offsets)
-            at, f = winnow(words, hasher.spans(data, words.start, words.end), length, gram)
+            at, f, _, _ = winnow(words, hasher.spans(data, words.start, words.end), length, gram)
             row = np.searchsorted(words.first, at, "right") - 1
-            f = mix(f ^ scopes[i:j][row])
-            keys = batch.column("_key")[i:j].take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), keys, pa.array((at - words.first[row]).astype(np.int32))], ["_f", "_key", "_pos"])
+            held.append((mix(f ^ scopes[i:j][row]), ids[i:j][row], at - words.first[row]))
+            count += len(at)
+            if count >= FLUSH:
+                yield from flush()
+                held, count = [], 0
+    if count:
+        yield from flush()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
+    """(_id, _at) of the fingerprints that several texts have, or several places; the rows come ordered by range."""
+    held: list[bytes] = []
+    now = None
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        f, ids, pos, done = (np.concatenate(x) for x in zip(*map(_unpacked, held)))
+        by = np.argsort(f, kind="stable")
+        f, ids, pos, done = f[by], ids[by], pos[by], done[by]
+        number = _shares(f)
+        head = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        often = (_varies(number, ids, pos, places) | np.logical_or.reduceat(done, head))[number] & ~done
+        yield _asked(ids[often], pos[often])
+
+    for batch in batches:
+        told = batch.filter(pc.is_valid(batch.column("_id")))
+        if told.num_rows:
+            yield told
+        rest = batch.filter(pc.is_valid(batch.column("_blob")))
+        for b, blob in zip(rest.column("_bin").to_pylist(), rest.column("_blob").to_pylist()):
+            if held and b != now:
+                yield from settle()
+                held = []
+            now = b
+            held.append(blob)
+    if held:
+        yield from settle()
+
+
+def packed(text: pa.Array) -> pa.Array:
+    """Each text compressed, with its size before it; null for null."""
+    out = [None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, "zstd", asbytes=True) for t in text.cast(pa.binary()).to_pylist()]
+    return pa.array(out, pa.binary())
+
 
+def unpacked(blob: pa.Array) -> pa.Array:
+    out = [None if b is None else pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True) for b in blob.to_pylist()]
+    return pa.array(out, pa.binary())
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint that is asked for its context: the words of all windows around it."""
+
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """For each fingerprint that is asked for its context: the words of all windows that choose it.
+
+    A context's text is given once in a task.
+    """
     hasher = Hasher()
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         scopes = batch.column("_scope").to_numpy(zero_copy_only=False).view(np.uint64)
         asked = batch.column("_at")
         keys, ords = batch.column("_key"), batch.column("_ord")
-        for i, j, data, offsets in steps(batch.column("_text")):
+        for i, j, data, offsets in steps(unpacked(batch.column("_text"))):
             words = Words(data, offsets)
-            hashed = _grams(hasher.spans(data, words.start, words.end), gram)
+            at, f, left, right = winnow(words, hasher.spans(data, words.start, words.end), length, gram)
             part = asked[i:j]
-            pos = part.flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(j - i), pc.list_value_length(part).to_numpy(zero_copy_only=False))
-            first, last = words.first[row], words.first[row + 1]
-            at = first + pos
-            begin = np.maximum(first, at - (length - gram))
-            end = np.minimum(last, at + length)
-            f = mix(hashed[at] ^ scopes[i:j][row])
+            wanted = np.zeros(len(words.start) + 1, bool)
+            wanted[np.minimum(words.first[row] + part.flatten().to_numpy().astype(np.int64), len(words.start))] = True
+            mine = wanted[at]
+            at, f, left, right = at[mine], f[mine], left[mine], right[mine]
+            row = np.searchsorted(words.first, at, "right") - 1
+            f = mix(f ^ scopes[i:j][row]).view(np.int64)
             raw = data.tobytes()
-            lo, hi = words.start[begin].tolist(), words.end[end - 1].tolist()
-            text = [raw[x:y] for x, y in zip(lo, hi)]
+            text = [raw[x:y] for x, y in zip(words.start[left].tolist(), words.end[right + length - 1].tolist())]
+            hashes = [int.from_bytes(md5(x).digest()[:8], "little", signed=True) for x in text]
+            for k, name in enumerate(zip(f.tolist(), hashes)):
+                if name in seen:
+                    text[k] = None
+                elif len(seen) < FLUSH:
+                    seen.add(name)
             take, scope = pa.array(row), batch.column("_scope")[i:j]
             for x in range(0, len(text), 20_000):
                 y = x + 20_000
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f[x:y].view(np.int64)), keys[i:j].take(take[x:y]), ords[i:j].take(take[x:y]), pa.array((begin - first)[x:y].astype(np.int32)), pa.array((end - begin)[x:y].astype(np.int32)), scope.take(take[x:y]), pa.array(text[x:y], pa.binary())],
-                    ["_f", "_key", "_ord", "_pos", "_n", "_scope", "_ctx"],
+                    [pa.array(f[x:y]), pa.array(hashes[x:y], pa.int64()), keys[i:j].take(take[x:y]), ords[i:j].take(take[x:y]), pa.array((left - words.first[row])[x:y].astype(np.int32)), pa.array((right - left + length)[x:y].astype(np.int32)), scope.take(take[x:y]), pa.array(text[x:y], pa.binary())],
+                    names,
                 )
 
 
@@ -255,14 +399,6 @@ def windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return group, context, place - first[context]
 
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Union of the windows at ``starts``, which ascend, as (begin, end)."""
-    cutoff = np.flatnonzero(np.diff(starts) > length)
-    lo = starts[np.concatenate([[0], cutoff + 1])]
-    hi = starts[np.concatenate([cutoff, [len(starts) - 1]])] + length
-    return list(zip(lo.tolist(), hi.tolist()))
-
-
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole fingerprints of a partition sorted by them, about SHARD_TOKENS at a time."""
     held: list[pa.RecordBatch] = []
@@ -303,9 +439,8 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool) ->
             text = _ranks(shard.column("_ford").to_pylist(), shard.column("_fkey").to_pylist())
             place = shard.column("_fpos").to_numpy().astype(np.int64)
         else:
-            both = _ranks(shard.column("_fkey").to_pylist() + shard.column("_lkey").to_pylist())
-            low, high = both[: len(contexts)], both[len(contexts) :]
-            for k in np.flatnonzero(low != high).tolist():
+            who, many = shard.column("_who").to_numpy(), shard.column("_many").to_numpy()
+            for k in np.flatnonzero(many).tolist():
                 # Equal contexts of several texts: all their windows repeat.
                 marks[k] = [0, len(contexts[k].split())]
         if len(group):
@@ -322,7 +457,8 @@ def _mark(batches: Iterator[pa.RecordBatch], length: int, first_stays: bool) ->
                 drop = (rank != rank[top][number]) | (absolute != absolute[top][number])
             else:
                 begins = np.flatnonzero(head)
-                drop = (np.minimum.reduceat(low[context], begins) != np.maximum.reduceat(high[context], begins))[number]
+                several = np.minimum.reduceat(who[context], begins) != np.maximum.reduceat(who[context], begins)
+                drop = (several | np.logical_or.reduceat(many[context], begins))[number]
             context, word = context[drop], word[drop]
             by = np.lexsort((word, context))
             for k, at in _split(context[by], word[by]):
@@ -344,22 +480,26 @@ def _split(owner: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield from zip(owner[np.concatenate([[0], edges]).astype(np.int64)].tolist(), np.split(value, edges))
 
 
-def _found(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _found(texts: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
     """All occurrences of repeated fingerprints, with their contexts."""
-    flat = texts.select("_scope", "_key", "_text").mapInArrow(lambda it: _prints(it, length, gram), "_f long, _key binary, _pos int")
-    by = Window.partitionBy("_f")
-    spot = F.struct("_key", "_pos")
-    often = flat.withColumn("_lo", F.min(spot).over(by)).withColumn("_hi", F.max(spot).over(by)).where("_lo != _hi")
-    asked = often.groupBy("_key").agg(F.collect_set("_pos").alias("_at"))
-    once = texts.join(asked, "_key").groupBy("_key").agg(
+    spark = texts.sparkSession
+    # The first half of a text's MD5 stands for it here; what it can't tell apart is told apart by the whole.
+    named = texts.withColumn("_id", F.conv(F.hex(F.substring("_key", 1, 8)), 16, -10).cast("long"))
+    bins = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    flat = named.select("_scope", "_id", "_text").mapInArrow(lambda it: _prints(it, length, gram, bins, places), "_bin int, _blob binary, _id long, _at array<int>")
+    often = flat.repartition("_bin").sortWithinPartitions("_bin").mapInArrow(lambda it: _repeated(it, places), "_bin int, _blob binary, _id long, _at array<int>")
+    asked = store(often.groupBy("_id").agg(F.flatten(F.collect_list("_at")).alias("_at")))
+    small = named.withColumn("_text", F.arrow_udf(packed, "binary")(F.col("_text")))
+    once = small.join(asked, "_id").groupBy("_id", "_key").agg(
         F.min("_ord").alias("_ord"), F.first("_scope").alias("_scope"), F.first("_text").alias("_text"), F.first("_at").alias("_at")
     )
-    found = once.mapInArrow(lambda it: _contexts(it, length, gram), "_f long, _key binary, _ord long, _pos int, _n int, _scope long, _ctx binary")
-    return found.withColumn("_hash", F.unhex(F.md5("_ctx")))
+    names = ["_f", "_hash", "_key", "_ord", "_pos", "_n", "_scope", "_ctx"]
+    kind = texts.schema["_ord"].dataType.simpleString()
+    return once.mapInArrow(lambda it: _contexts(it, length, gram, names), f"_f long, _hash long, _key binary, _ord {kind}, _pos int, _n int, _scope long, _ctx binary")
 
 
 def repeated_spans(texts: DataFrame, length: int, gram: int, first_stays: bool) -> DataFrame:
-    """(_key, _spans): ranges of words of ``texts`` (_scope long, _ord long, _key binary, _text) that repeat.
+    """(_key, _spans): ranges of words of ``texts`` (_scope long, _ord, _key binary of 16 bytes, _text) that repeat.
 
     Rows of one ``_key`` have one text and scope. Spans are begin, end, begin, end and so on, and may overlap;
     their union is that of all repeated windows of ``length`` words. Windows repeat within a ``_scope``. With
@@ -368,24 +508,30 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, first_stays: bool)
     """
     if not 1 < gram <= length:
         raise ValueError("a fingerprint has at least two words and at most those of a window")
-    found = store(_found(texts, length, gram))
+    found = store(_found(texts, length, gram, first_stays))
     place = F.struct(F.col("_ord").isNull().alias("n"), F.col("_ord").alias("o"), F.col("_key").alias("k"), F.col("_pos").alias("p"))
-    same = found.groupBy("_f", "_scope", "_hash").agg(
-        F.min(place).alias("_first"), F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.first("_ctx").alias("_ctx"), F.first("_n").alias("_n")
-    )
-    key = F.col("_first.k") if first_stays else F.col("_low")
-    shards = same.select(
-        "_f", "_scope", "_hash", "_ctx", "_n", F.col("_first.o").alias("_ford"), key.alias("_fkey"), F.col("_first.p").alias("_fpos"), F.col("_high").alias("_lkey")
-    ).repartition("_f").sortWithinPartitions("_f")
-    marks = store(shards.mapInArrow(lambda it: _mark(it, length, first_stays), "_f long, _hash binary, _spans array<int>"))
-    told = found.select("_f", "_hash", "_key", "_pos", "_n", place.alias("_place")).join(marks, ["_f", "_hash"])
+    text = [F.first("_scope").alias("_scope"), F.first("_ctx", ignorenulls=True).alias("_ctx"), F.first("_n").alias("_n")]
+    if first_stays:
+        same = store(found.groupBy("_f", "_hash").agg(F.min(place).alias("_first"), *text))
+        whose = [F.col("_first.o").alias("_ford"), F.col("_first.k").alias("_fkey"), F.col("_first.p").alias("_fpos")]
+    else:
+        who = F.xxhash64("_key")
+        same = store(found.groupBy("_f", "_hash").agg(F.min(who).alias("_who"), (F.min(who) != F.max(who)).alias("_many"), *text))
+        whose = ["_who", "_many"]
+    shards = same.select("_f", "_scope", "_hash", "_ctx", "_n", *whose).repartition("_f").sortWithinPartitions("_f")
+    marks = shards.mapInArrow(lambda it: _mark(it, length, first_stays), "_f long, _hash long, _spans array<int>")
+    marks = store(marks.join(same.select("_f", "_hash", "_first"), ["_f", "_hash"]) if first_stays else marks.where(F.size("_spans") > 0))
+    discard(same)
+    told = found.select("_f", "_hash", "_key", "_pos", *([F.col("_n"), place.alias("_place")] if first_stays else [])).join(marks, ["_f", "_hash"])
     if first_stays:
         # Equal contexts after the first are repeats from end to end.
-        first = F.min("_place").over(Window.partitionBy("_f", "_hash"))
-        told = told.withColumn("_spans", F.when(F.col("_place") == first, F.col("_spans")).otherwise(F.array(F.lit(0), F.col("_n"))))
-    told = told.where(F.size("_spans") > 0)
+        told = told.withColumn("_spans", F.when(F.col("_place") == F.col("_first"), F.col("_spans")).otherwise(F.array(F.lit(0), F.col("_n"))))
+        told = told.where(F.size("_spans") > 0)
     moved = F.transform("_spans", lambda x: x + F.col("_pos"))
-    return told.groupBy("_key").agg(F.flatten(F.collect_list(moved)).alias("_spans"))
+    spans = store(told.groupBy("_key").agg(F.flatten(F.collect_list(moved)).alias("_spans")))
+    discard(found)
+    discard(marks)
+    return spans
 
 
 def without(words: Words, spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -437,12 +583,11 @@ def drop_repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GR
     key, row, new = (unused(x, names) for x in ("_key", "_row", "_new"))
     told = docs.withColumn(key, F.unhex(F.md5("text")))
     texts = told.where(F.col("text").isNotNull()).select(
-        F.lit(0).cast("long").alias("_scope"), F.col("doc_id").cast("long").alias("_ord"), F.col(key).alias("_key"), F.col("text").alias("_text")
+        F.lit(0).cast("long").alias("_scope"), F.col("doc_id").alias("_ord"), F.col(key).alias("_key"), F.col("text").alias("_text")
     )
     spans = repeated_spans(texts, length, gram, first_stays=True)
     spans = spans.select(F.col("_key").alias(key), F.col("_spans").alias(new))
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*plain)))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last(), row_hash(docs)))
     whole = told.where(F.col("text").isNotNull()).join(spans, key, "left").withColumn(row, first)
     again = (F.col(row) > 1) & (F.regexp_count("text", F.lit(r"[^ \t\n\r\x0B\f]+")) >= length)
     # Only texts that change go through Python.
