@@ -1,21 +1,21 @@
 """Byte-level BPE: encoding by folds of ranked merges, decoding by concatenation, all of it in the JVM.
 
-Texts are cut into words by the vocabulary's pattern. A word's bytes are folded: as long as two
-neighbours together are a piece of the vocabulary, the pair of least rank is merged, leftmost first.
-Byte arrays are held as strings of the 256 characters of Latin-1, byte for character, which concatenate and
-compare as bytes do and can be keys of a literal. Ranks are such a literal: an array of small maps,
-chosen by the CRC of the piece, since Spark looks through the keys of a map one by one.
+Texts are cut into words by the vocabulary's pattern. A word's bytes become the ids of their pieces, and this array is
+folded: as long as two neighbours together are a piece of the vocabulary, the pair of least rank is merged, leftmost
+first. A piece's id is its rank, so the rank of a pair is the id that it becomes, and pairs of ids are the keys of the
+literal rank map: an array of small maps, chosen by a remainder of the key, since Spark looks through
+the keys of a map one by one. Every merge leaves pieces of the vocabulary, so the pairs of pieces whose join is a piece
+are all that is ever looked up.
 
 The distinct words of all documents are counted, and the most frequent ones folded once; what they
 encode to is a literal of the same form. All other words are folded where they stand, by the same
 expression, so the table's size only decides how often a fold is repeated. No word is
-shuffled back to its document.
+shuffled back to its document, and no document is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Callable
 from pathlib import Path
 
@@ -26,7 +26,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 from .common import store, unused
 
 #: Words whose codes are kept in a literal.
-CACHE = 262_144
+CACHE = 524_288
 
 #: White space is Unicode's, as the vocabulary's own pattern has it.
 _WS = r"\p{IsWhite_Space}"
@@ -62,9 +62,9 @@ def _values(spark: SparkSession, value: list, kind: str) -> Column:
     return _constant(spark.createDataFrame([(value,)], f"x {kind}").coalesce(1))
 
 
-def _lookup(table: tuple[Column, int], key: Column) -> Column:
-    maps, n = table
-    return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % n).cast("int")), key)
+def _slot(key: Column, n: int) -> Column:
+    """The place of a string among ``n``."""
+    return F.pmod(F.hash(key), F.lit(n))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -81,7 +81,10 @@ def as_latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
-_NONE = 2**31 - 1
+#: Bits of an id, and a number beyond all ids.
+_SHIFT = 20
+_NONE = 1 << _SHIFT
+_PRIME = 1_000_003
 
 
 class Codec:
@@ -92,41 +95,54 @@ class Codec:
             raise ValueError("a byte-level vocabulary has a piece for every byte")
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks count up from 0")
-        n = len(ranks)
-        whole: list[dict] = [{} for _ in range(n)]
+        n = 1 << (len(ranks) - 1).bit_length()
+        pairs: list[dict] = [{} for _ in range(4 * n)]
         for piece, rank in ranks.items():
-            key = piece.decode("latin-1")
-            whole[zlib.crc32(key.encode()) % n][key] = rank
-        self.whole = _values(spark, whole, "array<map<string,int>>"), n
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    key = (left << _SHIFT) + right
+                    pairs[key % _PRIME % len(pairs)][key] = rank
+        self.pairs = _values(spark, pairs, "array<map<bigint,bigint>>"), len(pairs)
+        self.bytes = _values(spark, [ranks[bytes([b])] for b in range(256)], "array<bigint>")
         self.pieces = _values(spark, [p.decode("latin-1") for p in sorted(ranks, key=ranks.__getitem__)], "array<string>")
+        known = spark.createDataFrame([(p.decode("latin-1"), [r]) for p, r in ranks.items()], "_w string, _c array<bigint>")
+        self.whole = _table(spark, known, len(ranks))
         self.cached: tuple[Column, int] | None = None
 
-    def rank(self, piece: Column) -> Column:
-        return _lookup(self.whole, piece)
+    def merged(self, left: Column, right: Column) -> Column:
+        """The id of the piece that two pieces make together; null if there is none."""
+        maps, n = self.pairs
+        key = F.shiftleft(left, _SHIFT) + right
+        return F.try_element_at(F.get(maps, (key % F.lit(_PRIME) % F.lit(n)).cast("int")), key)
+
+    def _held(self, left: Column, right: Column) -> Column:
+        """A piece in the state of a fold: what it becomes with the next one, and itself, in one number."""
+        return F.shiftleft(F.coalesce(self.merged(left, right), F.lit(_NONE)), _SHIFT) + left
 
     def fold(self, word: Column) -> Column:
         """Ids of one word, given byte for character."""
 
-        def step(state: Column, _: Column) -> Column:
-            p = state.getField("p")
-            # Ranks of all neighbours, joined; the least decides, the leftmost of equal ones.
-            ranked = F.transform(p, lambda x, i: F.coalesce(self.rank(F.concat(x, F.get(p, i + 1))), F.lit(_NONE)))
-
-            def at(r: Column) -> Column:
-                def put(i: Column) -> Column:
-                    both = F.concat(F.get(p, i - 1), F.get(p, i))
-                    return F.struct(_joined(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"), F.lit(False).alias("end"))
+        def own(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(_NONE - 1))
 
-                best = F.array_min(r)
-                return F.when(best < _NONE, _let(F.array_position(r, best).cast("int"), put)).otherwise(F.struct(p.alias("p"), F.lit(True).alias("end")))
+        def step(s: Column, _: Column) -> Column:
+            def at(i: Column) -> Column:
+                best = F.shiftright(F.get(s, i - 1), _SHIFT)
+                left = own(F.get(s, i - 2))
+                before = F.when(i > 1, F.array(self._held(left, best))).otherwise(none)
+                return _joined(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), before, F.array(self._held(best, own(F.get(s, i + 1)))), F.slice(s, i + 2, F.size(s)))
 
-            return F.when(state.getField("end"), state).otherwise(_let(ranked, at))
+            # The least of what neighbours would become decides, the leftmost of equal ones: these are the same pair.
+            least = F.array_min(s)
+            return F.when(least < _NONE << _SHIFT, _let(F.array_position(s, least).cast("int"), at)).otherwise(s)
 
-        single = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substring(word, i, F.lit(1)))
+        none = F.array().cast("array<bigint>")
+        single = F.transform(F.split(word, ""), lambda c: F.get(self.bytes, F.ascii(c)))
         turns = F.when(F.char_length(word) > 1, F.sequence(F.lit(2), F.char_length(word))).otherwise(F.array().cast("array<int>"))
-        folded = F.aggregate(turns, F.struct(single.alias("p"), F.lit(False).alias("end")), step, lambda s: s.getField("p"))
-        whole = F.array(self.rank(word))
-        return _let(whole, lambda w: F.when(F.get(w, F.lit(0)).isNotNull(), w).otherwise(F.transform(folded, self.rank)))
+        start = _let(single, lambda p: F.transform(p, lambda x, i: self._held(x, F.get(p, i + 1))))
+        folded = F.aggregate(turns, start, step, lambda s: F.transform(s, own))
+        return F.coalesce(_lookup(self.whole, word), folded)
 
     def encode(self, text: Column) -> Column:
         """Ids of a text; null for a null text."""
@@ -135,7 +151,7 @@ class Codec:
             folded = self.fold(as_latin(w.cast("binary")))
             return folded if self.cached is None else F.coalesce(_lookup(self.cached, w), folded)
 
-        return F.flatten(F.transform(words(text), code))
+        return F.flatten(F.transform(words(text), code)).cast("array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ``ids`` stand for; null if an id is null or not of the vocabulary."""
@@ -158,19 +174,25 @@ def codec(spark: SparkSession, docs: DataFrame, path: str | None = None, cache:
         often = found.groupBy("_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", F.sum("_m").over(sizes))
         least = often.where(F.col("_upto") <= cache).orderBy("_n").first()
         if least is not None:
-            made.cached = _cache(spark, found.where(F.col("_n") >= least._n).repartition(8), made, least._upto)
+            top = found.where(F.col("_n") >= least._n).repartition(8)
+            made.cached = _table(spark, top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c")), least._upto)
     return made
 
 
-def _cache(spark: SparkSession, top: DataFrame, made: Codec, size: int) -> tuple[Column, int]:
-    n = max(1, size // 2)
-    coded = top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c"), (F.crc32(F.col("_w").cast("binary")) % n).alias("_b"))
-    maps = coded.groupBy("_b").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_c"))).alias("_m"))
-    slots = spark.range(n).withColumnRenamed("id", "_b").join(maps, "_b", "left")
-    one = slots.agg(F.array_sort(F.collect_list(F.struct("_b", "_m")), lambda x, y: (x["_b"] - y["_b"]).cast("int")).alias("_s"))
+def _table(spark: SparkSession, coded: DataFrame, size: int) -> tuple[Column, int]:
+    """A literal of ``coded`` (_w, _c), of about one word for each of its places."""
+    n = max(1, size)
+    maps = coded.groupBy(_slot(F.col("_w"), n).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_c"))).alias("_m"))
+    slots = spark.range(n).select(F.col("id").cast("int").alias("_b")).join(maps, "_b", "left")
+    one = slots.agg(F.array_sort(F.collect_list(F.struct("_b", "_m")), lambda x, y: x["_b"] - y["_b"]).alias("_s"))
     return _constant(one.select(F.transform("_s", lambda x: x["_m"]).alias("x"))), n
 
 
+def _lookup(table: tuple[Column, int], word: Column) -> Column:
+    maps, n = table
+    return F.try_element_at(F.get(maps, _slot(word, n)), word)
+
+
 def encode_documents(docs: DataFrame, *, path: str | None = None, cache: int = CACHE, check: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip): the ids of every text.
 
