@@ -5,8 +5,9 @@ towards the ratio of the document's group where a text is short and put through
 of the square root, make its vector. A group is a language and source. Its centre and covariance are those
 of the ``share`` of its documents that lie closest, found by concentration steps (Rousseeuw and Van
 Driessen, 1999) from a deterministic robust start, the medians and median absolute deviations (as
-Hubert, Rousseeuw and Verdonck, 2012). Documents beyond a quantile of their Mahalanobis
-distance go.
+Hubert, Rousseeuw and Verdonck, 2012). Documents beyond a limit of the Mahalanobis
+distance go. Digits and symbols count as what is no letter: most documents have none of either, so ratios of their
+own would vary in nothing among the closest documents, and any digit would be infinitely far.
 
 A concentration step over any number of rows is one aggregation: moments are summed per group and
 narrow range of distance, and the ranges up to the wanted share are then added up, so no group is
@@ -27,12 +28,10 @@ from pyspark.sql import functions as F
 from .common import Hasher, Words, cut, lists, steps, unused
 
 #: Counts of a text, and the ratios of its vector as (of, among),
-COUNTS = ["words", "chars", "letters", "capitals", "digits", "points", "symbols", "varied"]
-#: with the least standard deviation of each, so that what a group hardly varies in rejects nobody for a trifle.
-RATIOS = [
-    ("capitals", "letters", 0.05), ("digits", "chars", 0.10), ("symbols", "chars", 0.05),
-    ("points", "chars", 0.05), ("varied", "words", 0.05), ("words", "chars", 0.05),
-]
+COUNTS = ["words", "chars", "letters", "capitals", "varied"]
+RATIOS = [("capitals", "letters"), ("letters", "chars"), ("varied", "words"), ("words", "chars")]
+#: Added to each variance, so that a group of equal vectors has an inverse; other groups' variances are far larger.
+RIDGE = 1e-6
 P = len(RATIOS)
 #: Words of a stretch within which varied words are counted, so that long texts don't seem repetitive.
 STRETCH = 50
@@ -40,19 +39,19 @@ STRETCH = 50
 SHARE = 0.75
 STEPS = 6
 #: Documents of a smaller group are judged among all of their language, or of the table.
-LEAST_GROUP = 200
+LEAST_GROUP = 25
 #: Characters, letters or words by which a ratio is drawn towards its group's.
 PRIOR = {"chars": 100.0, "letters": 100.0, "words": 20.0}
-#: Probability of a larger distance under a normal distribution.
-TAIL = 1e-6
+#: Standard deviations beyond which a document goes. Vectors of clean documents have longer tails than a normal distribution:
+#: one in a hundred lies beyond ten, for an address or a number in a short text, and junk lies beyond seventeen.
+LIMIT = 16.0
 #: Groups up to which estimates are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 _RANGES = 32
 
-_KIND = np.zeros(256, np.int8)  # 0 other, 1 letter, 2 capital, 3 digit, 4 point, 5 symbol
+_KIND = np.zeros(256, np.int8)  # 0 other, 1 letter, 2 capital
 for _b in range(33, 127):
-    _c = chr(_b)
-    _KIND[_b] = 2 if _c.isupper() else 1 if _c.isalpha() else 3 if _c.isdigit() else 4 if _c in ".,;:'\"()-?" else 5
+    _KIND[_b] = 2 if chr(_b).isupper() else 1 if chr(_b).isalpha() else 0
 
 
 def counts(text: pa.Array) -> pa.Array:
@@ -77,8 +76,6 @@ def counts(text: pa.Array) -> pa.Array:
         table[:, 1] = per_text(begins & ~space)
         table[:, 2] = per_text((kind == 1) | (kind == 2) | wide)
         table[:, 3] = per_text(capital)
-        for c, k in ((4, 3), (5, 4), (6, 5)):
-            table[:, c] = per_text(kind == k)
         hashes = hasher.spans(data, words.start, words.end)
         owner = words.owner()
         stretch = (np.arange(len(owner)) - words.first[owner]) // STRETCH
@@ -89,7 +86,7 @@ def counts(text: pa.Array) -> pa.Array:
             key = np.sort((number.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
             once = key[np.concatenate([[True], key[1:] != key[:-1]])]
             varied = np.bincount((once >> np.uint64(40)).astype(np.int64), minlength=number[-1] + 1)
-            table[:, 7] = np.bincount(owner[new], weights=varied, minlength=j - i)
+            table[:, 4] = np.bincount(owner[new], weights=varied, minlength=j - i)
         out.append(table)
     flat = np.concatenate(out) if out else np.zeros((0, len(COUNTS)))
     return lists(flat.reshape(-1), np.arange(len(flat) + 1) * len(COUNTS))
@@ -134,7 +131,7 @@ def _strata(stats: DataFrame, least: int) -> DataFrame:
 def _vector(counted: Column, base: Column) -> list[Column]:
     at = {c: i for i, c in enumerate(COUNTS)}
     out = []
-    for k, (of, among, _) in enumerate(RATIOS):
+    for k, (of, among) in enumerate(RATIOS):
         prior = F.lit(PRIOR[among])
         ratio = (F.get(counted, F.lit(at[of])) + prior * F.get(base, F.lit(k))) / (F.get(counted, F.lit(at[among])) + prior)
         out.append(F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))))
@@ -155,8 +152,7 @@ def _distance(y: list[Column], centre: Column, scale: Column) -> Column:
 
 
 def _scale(cov: np.ndarray) -> list[float]:
-    cov = cov + np.diag(np.maximum(0.0, np.array([f for _, _, f in RATIOS]) ** 2 - np.diag(cov)))
-    return np.linalg.inv(np.linalg.cholesky(cov)).reshape(-1).tolist()
+    return np.linalg.inv(np.linalg.cholesky(cov + RIDGE * np.eye(P))).reshape(-1).tolist()
 
 
 def _start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +195,7 @@ def estimates(stats: DataFrame, share: float, steps_: int, least: int) -> DataFr
     # A document may count in its own group, its language and the whole table.
     known = stats.join(near(strata.select("_lang", "_source", F.explode("_pools").alias("_group"))), ["_lang", "_source"])
     sums = known.groupBy("_group").agg(*[F.sum(F.get("_counts", F.lit(i))).alias(c) for c, i in at.items()])
-    base = sums.select("_group", F.array(*[F.coalesce(F.try_divide(F.col(of), F.col(among)), F.lit(0.0)) for of, among, _ in RATIOS]).alias("_base"))
+    base = sums.select("_group", F.array(*[F.coalesce(F.try_divide(F.col(of), F.col(among)), F.lit(0.0)) for of, among in RATIOS]).alias("_base"))
     base = cut(base)
     y = [f"_y{k}" for k in range(P)]
     vectors = known.join(near(base), "_group").select("_group", *[v.alias(c) for c, v in zip(y, _vector(F.col("_counts"), F.col("_base")))])
@@ -221,9 +217,9 @@ def estimates(stats: DataFrame, share: float, steps_: int, least: int) -> DataFr
 
 
 def reject_outliers(
-    docs: DataFrame, *, share: float = SHARE, steps: int = STEPS, least_group: int = LEAST_GROUP, tail: float = TAIL, distance_column: str | None = None
+    docs: DataFrame, *, share: float = SHARE, steps: int = STEPS, least_group: int = LEAST_GROUP, limit: float = LIMIT, distance_column: str | None = None
 ) -> DataFrame:
-    """``docs`` without those whose distance from their group has a probability below ``tail``.
+    """``docs`` without those that lie more than ``limit`` standard deviations, by their Mahalanobis distance, from their group.
 
     Documents of a group of fewer than ``least_group`` are judged among all of their language, or of the whole table if
     these are too few; in a table of fewer, nobody is rejected. ``distance_column`` adds
@@ -231,7 +227,8 @@ def reject_outliers(
 
     Defined cases: a null language or source is the empty name; a null or empty text has all counts zero and
     so lies at its group's mean ratios: it stays, there being nothing to judge; repeated rows are judged alike and all
-    stay or go; all columns pass through whatever their names; an empty table gives an empty one.
+    stay or go, as do all documents of equal counts in a group; long texts are counted whole; one at the limit stays;
+    all columns pass through whatever their names; an empty table gives an empty one.
     """
     names = docs.columns
     lang, source, counted = (unused(x, names) for x in ("_lang", "_source", "_counts"))
@@ -245,7 +242,6 @@ def reject_outliers(
     p = found.alias("p")
     out = measured.join(near(p), (measured[lang] == F.col("p._lang")) & (measured[source] == F.col("p._source")), "left")
     far = _distance(_vector(measured[counted], F.col("p._base")), F.col("p._centre"), F.col("p._scale"))
-    limit = chi2_point(1 - tail, P)
-    out = out.where(F.coalesce(far <= limit, F.lit(True)))
+    out = out.where(F.coalesce(far <= limit * limit, F.lit(True)))
     keep = [measured[f"`{c}`"] for c in names if distance_column is None or c.lower() != distance_column.lower()]
     return out.select(*keep, *([] if distance_column is None else [far.alias(distance_column)]))

@@ -164,7 +164,46 @@ def test_counts():
     import pyarrow as pa
 
     got = np.array(quality.counts(pa.array(["Ab1, ÄÖ!", None, "", "x x x y"])).to_pylist())
-    assert got[0].tolist() == [2, 7, 4, 3, 1, 1, 1, 2] and not got[1].any() and not got[2].any() and got[3][[0, 7]].tolist() == [4, 2]
+    assert got[0].tolist() == [2, 7, 4, 3, 2] and not got[1].any() and not got[2].any() and got[3][[0, 4]].tolist() == [4, 2]
+
+
+def test_quality_is_brute_force(spark):
+    """Distances are those of concentration steps that sort all of a group, but for the width of a range of distances."""
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    far = {r.doc_id: r.distance for r in quality.reject_outliers(docs, limit=1e9, distance_column="distance").select("doc_id", "distance").collect()}
+    rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).collect()
+    x = np.array(quality.counts(pa.array([r.text for r in rows])).to_pylist())
+    at = {c: k for k, c in enumerate(quality.COUNTS)}
+    names = np.array([f"{r.lang}|{r.source}" for r in rows])
+    judged = 0
+    for name in np.unique(names):
+        m = np.flatnonzero(names == name)
+        if len(m) < quality.LEAST_GROUP:
+            continue
+        judged += 1
+        g = x[m]
+        base = [g[:, at[a]].sum() / g[:, at[b]].sum() for a, b in quality.RATIOS]
+        ratio = [(g[:, at[a]] + quality.PRIOR[b] * z) / (g[:, at[b]] + quality.PRIOR[b]) for (a, b), z in zip(quality.RATIOS, base)]
+        y = np.arcsin(np.sqrt(np.clip(np.array(ratio).T, 0, 1)))
+        centre = np.median(y, axis=0)
+        cov = np.diag((1.4826 * np.median(abs(y - centre), axis=0)) ** 2)
+        for _ in range(30):
+            gap = y - centre
+            d2 = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov + quality.RIDGE * np.eye(quality.P)), gap)
+            near = y[np.argsort(d2, kind="stable")[: int(np.ceil(quality.SHARE * len(y)))]]
+            centre = near.mean(axis=0)
+            q = len(near) / len(y)
+            cov = np.cov(near.T) * q / quality.chi2(quality.chi2_point(q, quality.P), quality.P + 2)
+        assert np.diag(cov).min() > 10 * quality.RIDGE and abs(np.corrcoef(near.T) - np.eye(quality.P)).max() > 0.1
+        gap = y - centre
+        want = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov + quality.RIDGE * np.eye(quality.P)), gap)
+        got = np.array([far[rows[k].doc_id] for k in m])
+        assert np.median(abs(got / want - 1)) < 0.15
+        assert ((got > quality.LIMIT**2) == (want > quality.LIMIT**2)).mean() > 0.98
+    assert judged >= 1
 
 
 def test_languages(spark):
