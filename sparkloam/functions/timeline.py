@@ -117,29 +117,37 @@ def _equal(a: Column, b: Column, kind: str) -> Column:
     return same & ~F.coalesce(F.isnan(a), F.lit(False)) if kind in ("float", "double") else same
 
 
-def collapse_runs(df: DataFrame, spec: TableSpec) -> DataFrame:
+def collapse_runs(df: DataFrame, spec: TableSpec, order_by: str | None = None) -> DataFrame:
     """Rows of a timeline table whose other fields equal those of the row before, in their index group, joined with it.
 
-    Rows are ordered by their first start (0 if they have none), then the tiebreak; the joined row has the union
-    of the timelines. A, B, A stay three rows; without other fields a group is one row.
+    Rows are ordered by their first start (0 if they have none), then the tiebreak, which is a field like others, and by
+    the column ``order_by``, which needn't be a field. The joined row has the union of the timelines. A, B, A stay three
+    rows; without other fields a group is one row. All windows share one shuffle by index and no array is built up step by step.
     """
     ts = spec.timestamp
     if ts is None or spec.fields[ts].kind != "timeline":
         raise ValueError("runs collapse in tables whose timestamp is a timeline")
     kinds = dict(df.dtypes)
-    order = [F.coalesce(start(F.col(ts)), F.lit(0)), *([F.col(spec.tiebreak)] if spec.tiebreak else [])]
-    w = Window.partitionBy(*[F.col(c) for c in spec.index]).orderBy(*order)
-    plain = [c for c in spec.fields if c not in (*spec.index, ts) and c != spec.tiebreak]
+    group = [F.col(f"`{c}`") for c in spec.index]
+    order = [F.coalesce(start(F.col(ts)), F.lit(0)), *[F.col(f"`{c}`") for c in (spec.tiebreak, order_by) if c]]
+    w = Window.partitionBy(*group).orderBy(*order)
+    plain = [c for c in spec.fields if c not in (*spec.index, ts)]
     same = F.lit(True)
     for c in plain:
         same = same & _equal(F.lag(c).over(w), F.col(c), kinds[c])
     first = F.row_number().over(w) == 1
     marked = df.withColumn("_new", F.when(first | ~same, 1).otherwise(0))
     marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # Equal rows of a run have equal fields, so any of them stands for all.
-    keep = [F.first(c).alias(c) for c in spec.fields if c not in (*spec.index, ts)]
-    out = marked.groupBy(*spec.index, "_run").agg(*keep, coalesce(F.flatten(F.collect_list(ts))).alias(ts))
-    return out.select(*spec.fields)
+    parts = marked.select(*spec.index, *plain, "_run", F.explode_outer(ts).alias("_x"))
+    by = Window.partitionBy(*group, F.col("_run")).orderBy("_x.s", "_x.e")
+    before = F.max("_x.e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_gap", F.when(F.col("_x.s") <= before + 1, 0).otherwise(1))
+    parts = parts.withColumn("_isle", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # Rows of a run have equal fields, so any of them stands for all.
+    keep = [F.first(c).alias(c) for c in plain]
+    isles = parts.groupBy(*spec.index, "_run", "_isle").agg(*keep, F.min("_x.s").alias("s"), F.max("_x.e").alias("e"))
+    found = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "e"))))
+    return isles.groupBy(*spec.index, "_run").agg(*keep, found.alias(ts)).select(*spec.fields)
 
 
 def point_intervals(ts: Column, micros: int) -> tuple[Column, Column]:

@@ -66,21 +66,21 @@ def _is_range(v: Any) -> bool:
 def micros(value: Any, path: str) -> int:
     """Microseconds since the epoch of an integer, an RFC 3339 string with offset, or a datetime (UTC if naive)."""
     if isinstance(value, bool):
-        raise ValueError(f"Expected integer (microseconds since epoch) or RFC 3339 string for field '{path}'")
+        raise ValueError(f"A time is a number of microseconds or an RFC 3339 string in field '{path}'")
     if isinstance(value, int):
         return value
     if isinstance(value, str):
         try:
             parsed = datetime.fromisoformat(value)
         except ValueError as e:
-            raise ValueError(f"Failed to parse RFC 3339 string for field '{path}'") from e
+            raise ValueError(f"Not an RFC 3339 time with offset in field '{path}'") from e
         if parsed.tzinfo is None or len(value) < 11 or value[10] not in "Tt ":
-            raise ValueError(f"Failed to parse RFC 3339 string for field '{path}'")
+            raise ValueError(f"Not an RFC 3339 time with offset in field '{path}'")
         value = parsed
     if isinstance(value, datetime):
         naive = value.astimezone(timezone.utc).replace(tzinfo=None) if value.tzinfo else value
         return (naive - EPOCH) // timedelta(microseconds=1)
-    raise ValueError(f"Expected integer (microseconds since epoch) or RFC 3339 string for field '{path}'")
+    raise ValueError(f"A time is a number of microseconds or an RFC 3339 string in field '{path}'")
 
 
 def _never(c: Column) -> Column:
@@ -99,7 +99,7 @@ def _one_of(cast: Callable[[Any], Column], p: Predicate) -> Match:
 
 def _leaf(rest: list[str], path: str, kind: str) -> None:
     if rest:
-        raise ValueError(f"Field '{path}' is a {kind} leaf and cannot contain nested path")
+        raise ValueError(f"Field '{path}' is of type {kind}, there is nothing below it")
 
 
 def _int(t: Type, value: Any, path: str, compat: bool) -> Match:

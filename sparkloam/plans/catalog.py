@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -13,47 +12,30 @@ from ..functions import rounding, timeline
 from ..functions.json import canonical_json
 from ..operators.filters import Filter
 from ..sources import evolve, layout, scan
-from ..spec import BOOL, BYTES, DATETIME, F32, F64, I8, I32, I64, JSON, STRING, Enum, Map, Option, Struct, TableSpec, Timeline, Tuple, Vec
+from ..spec import BOOL, BYTES, F32, F64, I8, I32, I64, STRING, Enum, Map, Option, Struct, TableSpec, Timeline, Tuple, Vec
 from ..streaming import windows
+from . import more
+from .tables import EVENTS, HALF_HOUR, HOUR, ORDERS, events, scratch, table
 
-EVENTS = TableSpec(
-    {"event_id": I64, "ts": DATETIME, "user_id": I64, "event_type": STRING, "value": F64, "props": JSON},
-    index=("user_id",), timestamp="ts", chunk_size=64, tiebreak="event_id",
-)
 SPAN = TableSpec({"user_id": I64, "seen": Timeline()})
-HALF_HOUR, HOUR = 1_800_000_000, 3_600_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one; on this machine only where none is set, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named or tempfile.mkdtemp(prefix='sparkloam-')}/{name}-{spark.sparkContext.applicationId}-{id(object())}"
 
 
 def q01(spark: SparkSession, d: str) -> DataFrame:
     query = {"user_id": 8, "ts": {"start": "2024-01-02T00:00:00Z", "end": "2024-01-20T00:00:00Z"}, "event_type": ["click", "view"]}
-    return scan.filter_table(_events(spark, d), EVENTS, query, ["event_id", "value"]).select("event_id", "value")
+    return scan.filter_table(events(spark, d), EVENTS, query, ["event_id", "value"]).select("event_id", "value")
 
 
 def q02(spark: SparkSession, d: str) -> DataFrame:
-    return scan.filter_table(_events(spark, d), EVENTS, {"user_id": 8}, ["event_id"], default_fill=True).select("event_id", "event_type", "value")
+    return scan.filter_table(events(spark, d), EVENTS, {"user_id": 8}, ["event_id"], default_fill=True).select("event_id", "event_type", "value")
 
 
 def q03(spark: SparkSession, d: str) -> DataFrame:
-    return scan.filter_table(layout.number_chunks(_events(spark, d), EVENTS), EVENTS, {}, ["user_id"])
+    return scan.filter_table(layout.number_chunks(events(spark, d), EVENTS), EVENTS, {}, ["user_id"])
 
 
 def q04(spark: SparkSession, d: str) -> DataFrame:
     spec = TableSpec({"v": Option(F64)})
-    some = _events(spark, d).select(F.when(F.col("value") > 50, None).otherwise(F.col("value")).alias("v"))
+    some = events(spark, d).select(F.when(F.col("value") > 50, None).otherwise(F.col("value")).alias("v"))
     return scan.filter_table(some, spec, {"v": 12.31}).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -63,7 +45,7 @@ def q05(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q06(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("event_id", rounding.time_round(F.col("ts"), timedelta(minutes=1)).alias("ts"))
+    return events(spark, d).select("event_id", rounding.time_round(F.col("ts"), timedelta(minutes=1)).alias("ts"))
 
 
 def q07(spark: SparkSession, d: str) -> DataFrame:
@@ -87,23 +69,23 @@ def q09(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10(spark: SparkSession, d: str) -> DataFrame:
-    return layout.chunk_metadata(layout.number_chunks(_events(spark, d), EVENTS), EVENTS).select("user_id", "chunk_no", "start_at", "end_at", "n")
+    return layout.chunk_metadata(layout.number_chunks(events(spark, d), EVENTS), EVENTS).select("user_id", "chunk_no", "start_at", "end_at", "n")
 
 
 def q11(spark: SparkSession, d: str) -> DataFrame:
     us = rounding.to_micros(F.col("ts"))
-    spec = TableSpec({"user_id": I64, "seen": Timeline(), "event_type": STRING, "event_id": I64}, index=("user_id",), timestamp="seen", tiebreak="event_id")
-    runs = timeline.collapse_runs(_events(spark, d).select("user_id", timeline.interval(us, us).alias("seen"), "event_type", "event_id"), spec)
+    spec = TableSpec({"user_id": I64, "seen": Timeline(), "event_type": STRING}, index=("user_id",), timestamp="seen")
+    runs = timeline.collapse_runs(events(spark, d).select("user_id", timeline.interval(us, us).alias("seen"), "event_type", "event_id"), spec, order_by="event_id")
     return runs.select("user_id", "event_type", *[rounding.from_micros(f(F.col("seen"))).alias(n) for n, f in (("s", timeline.start), ("e", timeline.end))], F.size("seen").cast("long").alias("n"))
 
 
 def q12(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.bucket_intervals(_events(spark, d), ["user_id"], rounding.to_micros(F.col("ts")), HOUR)
+    return timeline.bucket_intervals(events(spark, d), ["user_id"], rounding.to_micros(F.col("ts")), HOUR)
 
 
 def _half_hours(spark: SparkSession, d: str) -> DataFrame:
     s, e = timeline.point_intervals(F.col("ts"), HALF_HOUR)
-    return timeline.union_intervals(_events(spark, d).select("user_id", s.alias("a"), e.alias("b")), ["user_id"], "a", "b")
+    return timeline.union_intervals(events(spark, d).select("user_id", s.alias("a"), e.alias("b")), ["user_id"], "a", "b")
 
 
 def q13(spark: SparkSession, d: str) -> DataFrame:
@@ -111,18 +93,18 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q14(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).withColumn("props", canonical_json(F.col("props")))
+    rows = events(spark, d).withColumn("props", canonical_json(F.col("props")))
     return scan.filter_table(rows, EVENTS, {"props": {"k": 9}}, ["event_id"]).select("event_id")
 
 
 def q15(spark: SparkSession, d: str) -> DataFrame:
     old, new = TableSpec({"event_id": I64, "value": F64}), TableSpec({"event_id": I64, "value": I8})
-    return evolve.evolve(_events(spark, d), old, new).withColumnRenamed("value", "v")
+    return evolve.evolve(events(spark, d), old, new).withColumnRenamed("value", "v")
 
 
 def q16(spark: SparkSession, d: str) -> DataFrame:
     old, new = TableSpec({"id": I64}), TableSpec({"id": I64, "src": STRING})
-    rows = _events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("src"))
+    rows = events(spark, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("src"))
     both = evolve.evolve(rows.where("id % 2 = 0"), old, new).unionByName(evolve.evolve(rows.where("id % 2 = 1"), new, new))
     return scan.filter_table(both, new, {"src": ["", "click"]})
 
@@ -153,44 +135,41 @@ def q20(spark: SparkSession, d: str) -> DataFrame:
 
 def q21(spark: SparkSession, d: str) -> DataFrame:
     spec = TableSpec({"event_id": I64, "raw": BYTES})
-    return scan.filter_table(_events(spark, d).select("event_id", F.col("event_type").cast("binary").alias("raw")), spec, {"raw": "636c69636b"}, ["event_id"])
-
-
-ORDERS = TableSpec({"o_orderkey": I64, "o_orderstatus": STRING, "o_totalprice": F64, "o_orderdate": DATETIME}, index=("o_orderstatus",), timestamp="o_orderdate", tiebreak="o_orderkey")
+    return scan.filter_table(events(spark, d).select("event_id", F.col("event_type").cast("binary").alias("raw")), spec, {"raw": "636c69636b"}, ["event_id"])
 
 
 def q22(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "orders")
+    path = scratch(spark, "orders")
     layout.write(table(spark, d, "orders"), ORDERS, path)
     query = {"o_orderstatus": ["O", "F"], "o_totalprice": {"start": 10, "end": 20000}}
     return scan.scan(spark, ORDERS, path, query, ["o_orderkey", "o_totalprice"]).select("o_orderkey", "o_totalprice")
 
 
 def q23(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "counts")
-    _events(spark, d).repartition(1).write.parquet(f"{path}/in")
+    path = scratch(spark, "counts")
+    events(spark, d).repartition(1).write.parquet(f"{path}/in")
     counted = windows.window_counts(windows.stream_table(spark, EVENTS, f"{path}/in"), "ts", "event_type", "1 hour", "10 minutes")
     windows.run_to_end(counted, f"{path}/out", f"{path}/state", "append")
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.parquet(f"{path}/out").withColumn("start_at", F.col("start_at").cast("timestamp_ntz"))
 
 
 def q24(spark: SparkSession, d: str) -> DataFrame:
     """Metadata, bounds and pruning of a stored table: chunks read back from files."""
-    path = _scratch(spark, "events")
-    layout.write(_events(spark, d), EVENTS, path)
+    path = scratch(spark, "events")
+    layout.write(events(spark, d), EVENTS, path)
     return layout.chunk_metadata(layout.read(spark, EVENTS, path), EVENTS).select("user_id", "chunk_no", "start_at", "end_at", "n")
 
 
 def q25(spark: SparkSession, d: str) -> DataFrame:
     """A typed filter, its range moved by a day."""
     week = Filter.new(EVENTS, [8, 9, 10], {"start": "2024-01-02T00:00:00Z", "end": "2024-01-09T00:00:00Z"})
-    return scan.filter_table(_events(spark, d), EVENTS, week.range_shift(timedelta(days=1)), ["event_id"]).select("event_id", "user_id")
+    return scan.filter_table(events(spark, d), EVENTS, week.range_shift(timedelta(days=1)), ["event_id"]).select("event_id", "user_id")
 
 
 def q26(spark: SparkSession, d: str) -> DataFrame:
     """Exact match on rounded floats, within half a unit of the last decimal."""
     spec = TableSpec({"event_id": I64, "value": F64}, float_round=1)
-    rows = _events(spark, d).select("event_id", "value").withColumns(rounding.round_columns(spec))
+    rows = events(spark, d).select("event_id", "value").withColumns(rounding.round_columns(spec))
     return scan.filter_table(rows, spec, {"value": 12.34})
 
 
@@ -246,12 +225,13 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "q20_enum_tag": (q20, "select o_orderkey, (case o_orderstatus when 'F' then 0 else 2 end)::bigint tag from orders where o_orderstatus <> 'O'"),
     "q21_bytes_hex": (q21, "select event_id from events where event_type = 'click'"),
     "q22_index_prune": (q22, "select o_orderkey, o_totalprice from orders where o_orderstatus in ('O', 'F') and o_totalprice between 10 and 20000"),
-    "q23_stream_window": (q23, None),
+    "q23_stream_window": (q23, "select event_type, time_bucket(interval 1 hour, ts) start_at, count(*) n from events group by 1, 2 having start_at + interval 1 hour <= (select max(ts) from events) - interval 10 minute"),
     "q24_stored_chunks": (q24, _CHUNKS),
     "q25_typed_filter_shift": (q25, "select event_id, user_id from events where user_id in (8, 9, 10) and ts between timestamp '2024-01-03' and timestamp '2024-01-10'"),
     "q26_rounded_tolerance": (q26, "select event_id, round(value * 10)::bigint / 10.0::double as value from events where abs(round(value * 10)::bigint / 10.0::double - 12.34) < 0.05"),
     "q27_timeline_spans": (q27, f"select user_id, count(*) ranges, max(e) - min(s) span, min(s) first, max(e) last from ({_ISLES}) group by 1"),
     "q28_bool_inclusion": (q28, "select c_custkey from customer where c_acctbal > 5000"),
+    **more.CATALOG,
 }
 
 

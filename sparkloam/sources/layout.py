@@ -10,8 +10,12 @@ from ..functions.rounding import round_columns
 from ..spec import TableSpec
 
 CHUNK = "chunk_no"
+#: Stored with every row, and the same in all rows of a chunk: Parquet keeps a value once for a run of them.
+BOUNDS = ("start_at", "end_at")
+ROWS = "chunk_rows"
 #: Distinct index keys up to which a table is partitioned by directory; with more it is clustered by ranges of the key.
 DIRECTORIES = 1_000
+DIR = "__dir_"
 
 
 def _time(spec: TableSpec) -> Column | None:
@@ -37,6 +41,31 @@ def number_chunks(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumn(CHUNK, F.floor((F.row_number().over(w) - 1) / spec.chunk_size).cast("long"))
 
 
+def _line(spec: TableSpec) -> bool:
+    return spec.timestamp is not None and spec.fields[spec.timestamp].kind == "timeline"
+
+
+def _ends(spec: TableSpec) -> list[Column]:
+    """First and last time of a row."""
+    c = F.col(f"`{spec.timestamp}`")
+    return [timeline.start(c), timeline.end(c)] if _line(spec) else [c, c]
+
+
+def bounds_of(spec: TableSpec) -> tuple[str, ...]:
+    """Names of a chunk's bounds, none if the table has no timestamp or fields of these names."""
+    return BOUNDS if spec.timestamp and not set(BOUNDS) & set(spec.fields) else ()
+
+
+def with_bounds(chunked: DataFrame, spec: TableSpec) -> DataFrame:
+    """``chunked`` with what there is to know of a row's chunk. Rows of an index key lie together already, so nothing is shuffled."""
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in spec.index], CHUNK)
+    out = {ROWS: F.count(F.lit(1)).over(w)}
+    if bounds_of(spec):
+        first, last = _ends(spec)
+        out |= {"start_at": F.min(first).over(w), "end_at": F.max(last).over(w)}
+    return chunked.withColumns(out)
+
+
 def prepare(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows as they are stored: runs collapsed on the values as given, chunks numbered, then fields rounded."""
     df = df.select(*[F.col(f"`{c}`") for c in spec.fields])
@@ -44,45 +73,67 @@ def prepare(df: DataFrame, spec: TableSpec) -> DataFrame:
         df = timeline.collapse_runs(df, spec)
         bad = F.assert_true(F.size(F.col(f"`{spec.timestamp}`")) > 0, F.lit("a stored row has a timeline that is not empty"))
         df = df.where(F.coalesce(bad.cast("boolean"), F.lit(True)))
-    df = number_chunks(df, spec)
+    df = with_bounds(number_chunks(df, spec), spec)
     # Bounds are those of the values before rounding, which come from the same columns otherwise.
     return df.withColumns(round_columns(spec)) if round_columns(spec) else df
 
 
 def write(df: DataFrame, spec: TableSpec, path: str, *, by_directory: bool | None = None, mode: str = "errorifexists") -> None:
     """Write a table. With few index keys each has a directory, which filters on the index prune; with many, files
-    hold ranges of the key, whose statistics prune. Either way a file is sorted by index, chunk and time."""
+    hold ranges of the key, whose statistics prune. Either way a file is sorted by index, chunk and time, and its size
+    follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several, small ones share tasks."""
     stored = prepare(df, spec)
     keys = [F.col(f"`{c}`") for c in spec.index]
     if by_directory is None:
         by_directory = bool(keys) and df.select(*keys).distinct().limit(DIRECTORIES + 1).count() <= DIRECTORIES
     if by_directory and keys:
-        # A large key is spread over several tasks by chunk.
-        stored = stored.repartition(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
+        stored = stored.hint("rebalance", *keys).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
     elif keys:
         stored = stored.repartitionByRange(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
     elif order_of(spec):
         stored = stored.repartitionByRange(*order_of(spec)).sortWithinPartitions(*order_of(spec))
-    out = stored.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", spec.chunk_size * 32)
+    if by_directory:
+        stored = stored.select("*", *[F.concat(F.lit("_"), F.col(f"`{c}`")).alias(_folder(c, spec)) for c in spec.index if _folder(c, spec) != c])
+        stored = stored.drop(*[c for c in spec.index if _folder(c, spec) != c])
+    out = stored.write.mode(mode).option("compression", "zstd")
     if by_directory and keys:
-        out = out.partitionBy(*spec.index)
+        out = out.partitionBy(*[_folder(c, spec) for c in spec.index])
     out.parquet(path)
 
 
+def _folder(name: str, spec: TableSpec) -> str:
+    """The column that directories go by. An empty name is none, so texts have a character before them there."""
+    return f"{DIR}{name}" if spec.fields[name].kind in ("string", "uuid") else name
+
+
 def read(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
-    """All rows of a written table, with ``chunk_no``; its schema is the specification's, no inference."""
+    """All rows of a written table, with ``chunk_no`` and what is stored of chunks; its schema is the specification's, no inference."""
     kinds = {f.name: f.dataType for f in spec.schema().fields}
-    stored = spark.read.schema(spec.schema().add(CHUNK, "long")).parquet(path)
-    return stored.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in spec.index else F.col(f"`{c}`") for c in spec.fields], CHUNK)
+    schema = spec.schema().add(CHUNK, "long").add(ROWS, "long")
+    for b in bounds_of(spec):
+        schema = schema.add(b, "long" if _line(spec) else kinds[spec.timestamp])
+    stored = spark.read.schema(schema).parquet(path)
+
+    def column(c: str) -> Column:
+        if f"{DIR}{c}" in stored.columns:
+            return F.substring(F.col(f"`{DIR}{c}`"), 2, 2**31 - 1).alias(c)
+        return F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in spec.index else F.col(f"`{c}`")
+
+    return stored.select(*[column(c) for c in spec.fields], CHUNK, ROWS, *bounds_of(spec))
 
 
 def chunk_metadata(chunked: DataFrame, spec: TableSpec) -> DataFrame:
-    """One row per chunk: its index values, number, rows, and ``start_at`` and ``end_at`` if there is a timestamp."""
+    """One row per chunk: its index values, number, rows, and ``start_at`` and ``end_at`` if there is a timestamp.
+
+    Of a stored table only the columns that tell of chunks are read, no timestamps and no payload.
+    """
+    if ROWS in chunked.columns:
+        names = [*[F.col(f"`{c}`") for c in spec.index], F.col(CHUNK), *[F.col(b) for b in bounds_of(spec)]]
+        return chunked.select(*names, F.col(ROWS).alias("n")).distinct()
     found = [F.count(F.lit(1)).alias("n")]
     if spec.timestamp:
-        c = F.col(f"`{spec.timestamp}`")
-        line = spec.fields[spec.timestamp].kind == "timeline"
-        found = [F.min(timeline.start(c) if line else c).alias("start_at"), F.max(timeline.end(c) if line else c).alias("end_at"), *found]
+        first, last = _ends(spec)
+        found = [F.min(first).alias("start_at"), F.max(last).alias("end_at"), *found]
     return chunked.groupBy(*[F.col(f"`{c}`") for c in spec.index], CHUNK).agg(*found)
 
 

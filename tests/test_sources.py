@@ -13,6 +13,7 @@ def _rows(spark):
 
 
 def test_write_and_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     for by_directory in (True, False):
         path = str(tmp_path / str(by_directory))
         layout.write(_rows(spark), SPEC, path, by_directory=by_directory)
@@ -20,10 +21,14 @@ def test_write_and_scan(spark, tmp_path):
         assert back.count() == 20 and {round(r.v * 10) for r in back.collect()} == {round((i + 0.3) * 10) for i in range(20)}
         meta = sorted(layout.chunk_metadata(back, SPEC).collect())
         assert [(m.d, m.chunk_no, m.n) for m in meta] == [(d, c, n) for d in (0, 1) for c, n in enumerate([3, 3, 3, 1])]
+        stored = layout.chunk_metadata(back, SPEC)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in stored and ",v:" not in stored and "<at:" not in stored and ",at:" not in stored
         assert len(scan(spark, SPEC, path, {"d": 1}, ["d"]).collect()) == 4
         some = scan(spark, SPEC, path, {"d": 0, "at": {"start": "2024-01-01T00:02:00Z", "end": "2024-01-01T00:06:00Z"}}, ["n", "start_at"])
         assert sorted((r.n, r.start_at.minute) for r in some.collect()) == [(2, 0), (4, 0), (6, 6)]
         assert layout.expand(back, SPEC, 3, d=1).collect()[0].n == 19
+    line = scan(spark, SPEC, str(tmp_path / "False"), {"at": {"start": "2024-01-01T00:02:00Z", "end": "2024-01-01T00:06:00Z"}}, ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(start_at" in line and "GreaterThanOrEqual(end_at" in line and line.count("Scan parquet") == 1 and "Exchange" not in line
     plan = scan(spark, SPEC, str(tmp_path / "True"), {"d": 1}, ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(d" in plan
 
@@ -51,3 +56,16 @@ def test_stream(spark, tmp_path):
     some = windows.filter_stream(windows.stream_table(spark, SPEC, str(tmp_path / "in")), SPEC, {"d": 1})
     windows.run_to_end(some, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_texts_as_index(spark, tmp_path):
+    spec = TableSpec({"k": STRING, "u": STRING, "v": I64}, index=("k", "u"))
+    rows = [("", "a", 1), ("x", "", 2), ("_", "b/c=d", 3), ("7", "null", 4)]
+    for by_directory in (True, False):
+        path = str(tmp_path / str(by_directory))
+        layout.write(spark.createDataFrame(rows, spec.schema()), spec, path, by_directory=by_directory)
+        assert sorted(map(tuple, layout.read(spark, spec, path).select("k", "u", "v").collect())) == sorted(rows)
+        for k, u, v in rows:
+            assert [r.v for r in scan(spark, spec, path, {"k": k, "u": u}).collect()] == [v]
+    plan = scan(spark, spec, str(tmp_path / "True"), {"k": "x"})._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "__dir_k" in plan.split("PartitionFilters")[1][:200]
