@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, Words, blobs, buffers, cut, distinct_in_owner, lists, mix, seeds, steps, unused
+from .common import U64, Hasher, Words, blobs, buffers, cut, discard, distinct_in_owner, lists, mix, row_hash, seeds, steps, store, unused
 
 BANDS, ROWS = 32, 4
 #: Least Jaccard similarity of two documents' sets of word pairs.
@@ -154,14 +154,18 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(_key, _comp) of the distinct texts that have near copies; ``_key`` is the MD5 of the text."""
     base = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("_key"), F.lower("text").alias("text"))
-    flat = base.mapInArrow(lambda it: _bands(it, bands, rows), "_key binary, _bands array<long>").select("_key", F.explode("_bands").alias("_bucket"))
+    # Copies have equal keys and count once from here on, however many there are.
+    banded = store(base.mapInArrow(lambda it: _bands(it, bands, rows), "_key binary, _bands array<long>").dropDuplicates(["_key"]))
+    flat = banded.select("_key", F.explode("_bands").alias("_bucket"))
+    # Counted with partial sums first; only the members of buckets that several texts share are brought together.
+    shared = flat.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_bucket")
     by = Window.partitionBy("_bucket")
-    multi = flat.withColumn("_lead", F.min("_key").over(by)).withColumn("_last", F.max("_key").over(by)).where("_lead != _last")
-    multi = cut(multi.select("_bucket", "_key", "_lead"))
+    multi = store(flat.join(shared, "_bucket").withColumn("_lead", F.min("_key").over(by)).select("_bucket", "_key", "_lead"))
+    discard(banded)
     wanted = multi.select("_key").distinct()
     # Each distinct text once: copies have equal keys.
     once = base.join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"))
-    sets = cut(once.mapInArrow(_sets, "_key binary, _set binary"))
+    sets = store(once.mapInArrow(_sets, "_key binary, _set binary"))
     first = multi.where("_key != _lead").select(F.col("_lead").alias("_a"), F.col("_key").alias("_b")).distinct()
     edges = cut(verified(first, sets, threshold))
     comps = components(edges)
@@ -189,7 +193,8 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     Defined cases: rows with a null text have no copies and all stay; texts that are equal byte for
     byte (empty ones too) are always copies; texts without words are only copies of equal ones.
     Among equal ``doc_id`` the least text stays, a null ``doc_id`` comes last, and of fully
-    equal rows one stays. All columns pass through whatever their names.
+    equal rows one stays, maps being equal whatever the order of their entries. Long texts count whole. All columns pass
+    through whatever their names, and an empty table gives an empty one.
     """
     names = docs.columns
     key, keep, comp = (unused(x, names) for x in ("_key", "_keep", "_comp"))
@@ -201,8 +206,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     texts = texts.withColumn(comp, F.coalesce(F.col(comp), F.col(key))).withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
     keepers = texts.select(F.col(key), F.col("_id").alias(keep))
     kept = told.join(keepers, key).where(F.col("doc_id").eqNullSafe(F.col(keep)))
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     row = unused("_row", names)
-    kept = kept.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*plain)))).where(F.col(row) == 1)
+    kept = kept.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(row_hash(docs)))).where(F.col(row) == 1)
     cols = [F.col(f"`{c}`") for c in names]
     return kept.select(*cols).unionByName(docs.where(F.col("text").isNull()))
