@@ -14,9 +14,7 @@ nothing is broadcast but the rotation. Principal axes and rotation are sums over
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -26,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Standard deviations of a code distance by which the radius exceeds the expected one of a k-th neighbour.
-MARGIN = 1.65
+#: Bits of 64 within which neighbours are retrieved. Vectors that point in all directions alike need so many for a recall of 0.9;
+#: those that cluster have nearer neighbours, and less is found at less cost with fewer.
+RADIUS = 30
 NEIGHBOURS = 10
 #: Bits of a substring.
 SUBSTRING = 8
@@ -102,17 +101,6 @@ def learn(vectors: DataFrame, column: str, dims: int, bits: int, rounds: int, se
     return Rotation(centre, axes @ turn)
 
 
-def radius_for(n: int, k: int, dims: int, bits: int) -> int:
-    """The radius that holds 95 in 100 of the ``k`` nearest of ``n`` vectors if they point in all directions alike.
-
-    Their cosines are about normal with variance 1 / dims; a bit differs with the share of the angle in
-    a half turn. Vectors that cluster have nearer neighbours, so this is the hard case.
-    """
-    cosine = min(1.0, max(0.0, NormalDist().inv_cdf(1 - min(0.5, k / max(n, 2 * k))) / math.sqrt(dims)))
-    p = math.acos(cosine) / math.pi
-    return min(bits, math.floor(bits * p + MARGIN * math.sqrt(bits * p * (1 - p))))
-
-
 def radii(radius: int, m: int) -> list[int]:
     """Per substring the distance within which one of them lies if whole codes lie within ``radius``."""
     return [radius // m if j <= radius % m else radius // m - 1 for j in range(m)]
@@ -170,7 +158,7 @@ def _pairs(left: pd.DataFrame, right: pd.DataFrame, radius: int, k: int) -> pd.D
         x = np.frombuffer(b"".join(rows["_x"]), np.float32).reshape(len(rows), -1)
         return codes, x, rows["_row"].to_numpy()
 
-    empty = pd.DataFrame({"_row": pd.Series([], dtype="int64"), "_other": pd.Series([], dtype="int64"), "_cos": pd.Series([], dtype="float64")})
+    empty = pd.DataFrame({"_row": left["_row"].iloc[:0], "_other": right["_row"].iloc[:0], "_cos": pd.Series([], dtype="float64")})
     if left.empty or right.empty:
         return empty
     q, i = side(left), side(right)
@@ -185,19 +173,20 @@ def neighbours(
     """(vec_id, neighbour_id, rank, cosine): of every row the ``k`` most similar of the rows whose code is within
     ``radius`` of its own. ``bits`` is a multiple of 8; by default that of the vectors' dimensions below 65.
 
-    The radius decides the recall; without one it is ``radius_for`` the table's size.
+    The radius decides the recall; it is RADIUS of 64 bits, or the same share of fewer, whatever the table's size.
 
     Defined cases: rows with a null key, a null vector, one with a null or not finite value, one of zeros or of
     another length than most rows have are not compared and not in the result; rows with equal keys are
     never neighbours of each other, and of such rows only the first vector by order of its values is searched;
-    among equal similarities the smaller key comes first; a row without a code within the radius has no
+    among equal similarities the smaller key comes first; keys are integers or texts; a row without a code within the radius has no
     rows; an empty table gives an empty one; further columns are not read.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
+    held = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
     out = f"{key} {kind}, neighbour_id {kind}, rank int, cosine double"
     used = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull() & ~F.exists(F.coalesce(F.col(column), F.array()), lambda x: x.isNull()))
-    used = used.groupBy(F.col(key).cast("long").alias("_row")).agg(F.min(column).alias("_v"))
+    used = used.groupBy(F.col(key).cast(held).alias("_row")).agg(F.min(column).alias("_v"))
     used = cut(used)
     sizes = used.groupBy(F.size("_v").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "_d").first()
     if sizes is None or not sizes._d:
@@ -208,7 +197,7 @@ def neighbours(
     n = sizes._n
     if dims < bits:
         raise ValueError("a code has at most as many bits as vectors have dimensions")
-    radius = radius_for(n, k, dims, bits) if radius is None else radius
+    radius = RADIUS * bits // 64 if radius is None else radius
     rotation = learn(used, "_v", dims, bits, rounds)
     if rotation is None:
         return spark.createDataFrame([], out)
@@ -224,12 +213,12 @@ def neighbours(
             )
 
     blocks = max(1, -(-n // block))
-    codes = used.mapInArrow(coded, "_row long, _code binary, _x binary").withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
+    codes = used.mapInArrow(coded, f"_row {held}, _code binary, _x binary").withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
     codes = cut(codes)
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = codes.withColumn("_o", other).groupBy("_b", "_o")
     right = codes.withColumnRenamed("_b", "_o").withColumn("_b", other).groupBy("_b", "_o")
-    met = left.cogroup(right).applyInPandas(lambda a, b: _pairs(a, b, radius, k), "_row long, _other long, _cos double")
+    met = left.cogroup(right).applyInPandas(lambda a, b: _pairs(a, b, radius, k), f"_row {held}, _other {held}, _cos double")
     rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.col("_cos").desc(), "_other"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select(
         F.col("_row").cast(kind).alias(key), F.col("_other").cast(kind).alias("neighbour_id"), F.col("rank").cast("int"), F.col("_cos").alias("cosine")
