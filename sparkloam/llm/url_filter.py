@@ -14,6 +14,8 @@ distinct paths: two aggregations, whatever the number of URLs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,6 @@ ALIKE_Z, ALIKE_DEPTH = 2.58, 0.5
 #: Labels' worth of its host's purity that a template has, and of the table's that a host has.
 PRIOR = 10.0
 LEAST_PURITY = 0.5
-#: From this segment on, the rest of a path is one segment.
-LEVELS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -47,18 +47,14 @@ def path_of(url: Column) -> Column:
             s.rlike(r"^(?=.*\d)(?:[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$") & ~s.rlike(r"^\d+$"), F.lit("{hex}")
         ).otherwise(F.regexp_replace(s, r"\d+", "#")),
     )
-    segments = F.when(
-        F.size(segments) > LEVELS,
-        F.concat(F.slice(segments, 1, LEVELS - 1), F.array(F.array_join(F.slice(segments, LEVELS, F.size(segments)), "/"))),
-    ).otherwise(segments)
     names = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(query, "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1))), lambda p: p != "")))
     return F.concat(segments, F.when(F.size(names) > 0, F.array(F.concat(F.lit("?"), F.array_join(names, "&")))).otherwise(F.array().cast("array<string>")))
 
 
 def _level(paths: DataFrame, i: int) -> DataFrame:
-    """Names of the branches at depth ``i`` of ``paths`` (_host, _segs, _prefix, _n, _lab, _good)."""
+    """``paths`` (_host, _segs, _prefix, _n, _lab, _good) of more than ``i`` segments, with the names of their branches at depth ``i``."""
     seg = F.get("_segs", F.lit(i))
-    at = paths.where(F.size("_segs") > i).withColumn("_seg", seg)
+    at = paths.withColumn("_seg", seg)
     below = (F.size("_segs") - i) * F.col("_n")
     branches = at.groupBy("_host", "_prefix", "_seg").agg(F.sum("_n").alias("_n"), F.sum("_lab").alias("_lab"), F.sum("_good").alias("_good"), F.sum(below).alias("_deep"))
     w = Window.partitionBy("_host", "_prefix")
@@ -73,16 +69,20 @@ def _level(paths: DataFrame, i: int) -> DataFrame:
     named = branches.select("_host", "_prefix", "_seg", name.alias("_name"))
     on = ["_host", "_prefix", "_seg"]
     moved = at.join(named, on).withColumn("_prefix", F.concat("_prefix", F.lit("/"), "_name"))
-    done = paths.where(F.size("_segs") <= i)
-    return done.unionByName(moved.select(*done.columns))
+    return moved.select(*paths.columns)
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(_host, _segs, _template, _purity) of ``urls`` (_host, _segs, _label: 1, 0 or null)."""
     paths = cut(urls.groupBy("_host", "_segs").agg(F.count(F.lit(1)).alias("_n"), F.count("_label").alias("_lab"), F.coalesce(F.sum("_label"), F.lit(0)).cast("long").alias("_good")).withColumn("_prefix", F.lit("")))
     depth = paths.agg(F.max(F.size("_segs"))).first()[0] or 0
+    # Paths that have ended are set aside, so that a few very deep ones don't carry the others along.
+    ended = []
     for i in range(depth):
+        done, paths = paths.where(F.size("_segs") <= i), paths.where(F.size("_segs") > i)
+        ended.append(done)
         paths = cut(_level(paths, i))
+    paths = cut(reduce(DataFrame.unionByName, ended, paths))
     labels = ["_lab", "_good"]
     table = paths.agg(F.coalesce(F.sum("_good") / F.nullif(F.sum("_lab"), F.lit(0)), F.lit(1.0)).alias("_p0"))
     hosts = paths.groupBy("_host").agg(*[F.sum(c).alias(c) for c in labels]).crossJoin(table)
@@ -99,8 +99,8 @@ def filter_urls(urls: DataFrame, labels: Column, *, least_purity: float = LEAST_
 
     Defined cases: a null URL has a null template and purity and is not rejected; a URL without a host
     has the empty host; without any label all purities are 1; repeated rows count as often as they
-    occur; a node with a single branch keeps its name; paths of more than LEVELS segments have the rest
-    as one segment; all other columns pass through whatever their names; an empty table gives an empty one.
+    occur; a node with a single branch keeps its name; branches tied at a bound count as alike; paths may have any number
+    of segments, each of any length; all other columns pass through whatever their names; an empty table gives an empty one.
     """
     names = urls.columns
     host, segs, label = (unused(x, names) for x in ("_host", "_segs", "_label"))
