@@ -31,6 +31,8 @@ CENTROIDS = 4
 HELD, SLACK = 0.999, 0.05
 UNKNOWN = "und"
 _LENGTHS = 32
+#: Texts of one table of counts.
+ROWS = 500
 
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -68,6 +70,13 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows for ``gram_counts``, whose table is bounded whatever the size of a batch."""
+    for s in range(0, len(column), ROWS):
+        for i, j, data, offsets in steps(column[s : s + ROWS], 1_000_000):
+            yield s + i, s + j, data, offsets
+
+
 def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(_LENGTHS - 1, np.log2(1 + counts.sum(axis=1)).astype(np.int64))
 
@@ -75,7 +84,7 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, texts = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for i, j, data, offsets in steps(batch.column("text"), 1_000_000):
+        for i, j, data, offsets in _parts(batch.column("text")):
             total += (gram_counts(data, offsets) > 0).sum(axis=0)
             texts += j - i
     yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMS), -1)), pa.array(np.append(total, texts))], ["_place", "_n"])
@@ -139,7 +148,7 @@ class Model:
 
     def classify(self, batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in steps(batch.column("_text"), 1_000_000):
+            for i, j, data, offsets in _parts(batch.column("_text")):
                 counts = gram_counts(data, offsets)
                 if len(self.names):
                     like = vectors(counts, self.idf) @ self.matrix.T
@@ -172,7 +181,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     # The share of hashes that gives about ``sample`` documents of each language: no sort, no shuffle of the rest.
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample / n))])
     part = labelled.withColumn("_hash", F.xxhash64("text")).where(F.pmod(F.col("_hash"), F.lit(1_000_003)) < F.try_element_at(share, F.col("lang")) * 1_000_003)
-    part = part.select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), "_hash")
+    # A text counts once, however often it occurs: the sample's size has a bound.
+    part = part.select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), "_hash").dropDuplicates(["_lang", "_text"])
     fitted = part.groupBy("_lang").applyInPandas(lambda rows: _fit(rows, idf, k), "_lang string, _centroid array<float>, _least array<double>")
     rows = sorted(fitted.collect(), key=lambda r: (r._lang, r._centroid))
     if not rows:
@@ -189,7 +199,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> DataF
     Defined cases: null and empty texts and texts without two letters together are "und" at distance 1; rows with a null
     ``lang`` are classified but not learnt from; if no row has one, all are "und"; ``doc_id`` may be
     null or repeat, each row is classified on its own; of equally near centroids that of the first
-    language by name wins; further columns are not read; an empty table gives an empty one.
+    language by name wins; long texts are counted whole; further columns are not read; an empty table gives an empty one.
     """
     model = fit(docs, sample, k)
     plain = docs.select("doc_id", F.lower("text").alias("_text"))
