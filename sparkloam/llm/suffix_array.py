@@ -576,7 +576,8 @@ def drop_repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GR
 
     Defined cases: null, empty and short texts stay as they are; rows that repeat with the same
     ``doc_id`` and text keep the text once; in a text that repeats itself the overlapping later
-    windows go, whatever they share with the first; all other columns pass through whatever their
+    windows go, whatever they share with the first; long texts are searched whole; ``doc_id`` is of any type that has
+    an order; all other columns pass through whatever their
     names; an empty table gives an empty one.
     """
     names = docs.columns

@@ -306,11 +306,18 @@ def test_neighbours(spark):
     like = x @ x.T
     np.fill_diagonal(like, -2)
     best = np.argsort(-like, axis=1)[:, :10]
-    got = collections.defaultdict(set)
-    for r in ann.neighbours(vectors, block=200).collect():
-        got[r.vec_id].add(r.neighbour_id)
+    got = collections.defaultdict(list)
+    at = {r.vec_id: k for k, r in enumerate(rows)}
+    for r in ann.neighbours(vectors, block=200).orderBy("vec_id", "rank").collect():
+        assert abs(r.cosine - like[at[r.vec_id], at[r.neighbour_id]]) < 1e-6 and r["rank"] == len(got[r.vec_id]) + 1
+        got[r.vec_id].append(r.neighbour_id)
     ids = [r.vec_id for r in rows]
-    assert np.mean([len(got[i] & {ids[j] for j in best[k]}) / 10 for k, i in enumerate(ids)]) > 0.9
+    for i, names in got.items():
+        c = [like[at[i], at[j]] for j in names]
+        assert all(x >= y - 1e-6 for x, y in zip(c, c[1:]))
+    assert np.mean([len(set(got[i]) & {ids[j] for j in best[k]}) / 10 for k, i in enumerate(ids)]) > 0.9
+    named = ann.neighbours(vectors.withColumn("vec_id", F.concat(F.lit("v"), "vec_id")), block=200)
+    assert {(r.vec_id, r.neighbour_id) for r in named.collect()} == {(f"v{i}", f"v{j}") for i, names in got.items() for j in names}
 
 
 def test_neighbour_cases(spark):
@@ -332,6 +339,129 @@ def test_probing_is_complete():
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in zip(*np.nonzero(apart <= 9)) if i != j}
 
 
+def test_url_templates_are_brute_force(spark):
+    """The tree of each host, built by plain loops."""
+    import math
+    from urllib.parse import urlsplit
+
+    pages = url_filter.labelled_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    deep = spark.createDataFrame([(10_000 + i, f"http://deep.example/{'/'.join('ab'[i % 2] for _ in range(40))}/{i}", i % 2) for i in range(60)], "page_id long, url string, good int")
+    pages = pages.unionByName(deep)
+    rows = pages.collect()
+
+    def generalised(url):
+        u = urlsplit(url)
+        out = []
+        for s in [x for x in u.path.split("/") if x]:
+            hexed = re.fullmatch(r"(?=.*\d)(?:[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})", s) and not s.isdigit()
+            out.append("{hex}" if hexed else re.sub(r"\d+", "#", s))
+        names = sorted({p.split("=")[0] for p in u.query.split("&") if p.split("=")[0]})
+        return u.hostname or "", tuple(out + (["?" + "&".join(names)] if names else []))
+
+    paths = [(*generalised(r.url), r.good) for r in rows]
+    name = {}
+
+    def grow(group, depth, prefix):
+        branches = collections.defaultdict(list)
+        for h, segs, good in group:
+            if len(segs) > depth:
+                branches[segs[depth]].append((h, segs, good))
+            else:
+                name[h, segs] = prefix
+        every = [x for b in branches.values() for x in b]
+        stat = lambda g: (len(g), sum(x[2] is not None for x in g), sum(x[2] or 0 for x in g), sum(len(x[1]) - depth for x in g))
+        n_all, lab_all, good_all, deep_all = stat(every)
+        joined = set()
+        for seg, b in branches.items():
+            n, lab, good, deep_ = stat(b)
+            others = lab_all - lab
+            alike = True
+            if lab and others:
+                pool = good_all / lab_all
+                error = math.sqrt(pool * (1 - pool) * (1 / lab + 1 / others))
+                alike = abs(good / lab - (good_all - good) / others) <= url_filter.ALIKE_Z * error
+            alike = alike and abs(deep_ / n - deep_all / n_all) <= url_filter.ALIKE_DEPTH
+            if len(branches) > 1 and (n < url_filter.SUPPORT or alike):
+                joined.add(seg)
+        merged = collections.defaultdict(list)
+        for seg, b in branches.items():
+            merged["*" if seg in joined and len(joined) > 1 else seg] += b
+        for seg, b in merged.items():
+            grow(b, depth + 1, f"{prefix}/{seg}")
+
+    hosts = collections.defaultdict(list)
+    for p in paths:
+        hosts[p[0]].append(p)
+    for h, group in hosts.items():
+        grow(group, 0, h)
+    part = lambda g: (sum(x is not None for x in g), sum(x or 0 for x in g))
+    known, good = part([p[2] for p in paths])
+    p0 = good / known if known else 1.0
+    smooth = lambda g, to: (part(g)[1] + url_filter.PRIOR * to) / (part(g)[0] + url_filter.PRIOR)
+    of_host = {h: smooth([p[2] for p in g], p0) for h, g in hosts.items()}
+    members = collections.defaultdict(list)
+    for h, segs, g in paths:
+        members[h, name[h, segs]].append(g)
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, F.col("good")).collect()}
+    for r, (h, segs, _) in zip(rows, paths):
+        purity = smooth(members[h, name[h, segs]], of_host[h])
+        assert got[r.page_id].template == name[h, segs] and abs(got[r.page_id].purity - purity) < 1e-9 and got[r.page_id].rejected == (purity < url_filter.LEAST_PURITY)
+
+
+def test_languages_are_brute_force(docs):
+    """Frequencies, vectors, cosines and limits of a model's answers, by plain loops over n-grams."""
+    import math
+
+    model = langid.fit(docs)
+    rows = docs.select("doc_id", F.lower("text").alias("text")).collect()
+
+    def grams(text):
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+        raw = re.sub(rb" +", b" ", raw)
+        out = collections.Counter()
+        for g in langid.GRAMS:
+            for i in range(len(raw) - g + 1):
+                code = g
+                for b in raw[i : i + g]:
+                    code = code << 8 | b
+                x = code
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                out[(x ^ x >> 31) % langid.DIMS] += 1
+        return out
+
+    counted = {r.doc_id: grams(r.text) for r in rows}
+    held = collections.Counter(p for c in counted.values() for p in c)
+    idf = [math.log((1 + len(rows)) / (1 + held[p])) + 1 for p in range(langid.DIMS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    for r in langid.identify(docs).collect():
+        c = counted[r.doc_id]
+        if not c:
+            assert r.language == langid.UNKNOWN and r.distance == 1
+            continue
+        v = {p: math.log1p(k) * idf[p] for p, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        like = [sum(x * float(m[p]) for p, x in v.items()) / norm for m in model.matrix]
+        best = max(range(len(like)), key=like.__getitem__)
+        least = model.least[best, min(langid._LENGTHS - 1, int(math.log2(1 + sum(c.values()))))]
+        assert abs(r.distance - (1 - like[best])) < 1e-4
+        if abs(like[best] - least) > 1e-4:
+            assert r.language == (model.names[best] if like[best] >= least else langid.UNKNOWN)
+
+
+def test_maps_are_part_of_a_row(spark):
+    df = spark.createDataFrame([(1, "a b c", {"x": 1, "y": 2}), (1, "a b c", {"x": 3})], "doc_id long, text string, m map<string,int>")
+    assert len({tuple(sorted(r.m.items())) for _ in range(2) for r in minhash.drop_near_copies(df).collect()}) == 1
+
+
+def test_ids_may_be_texts(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([("b", long), ("a", "x " + long), (None, long)], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in suffix_array.drop_repeated_passages(df).collect()}
+    assert got == {"a": "x " + long, "b": "", None: ""}
+    assert {r.doc_id for r in minhash.drop_near_copies(df).collect()} == {"a"}
+
+
 def test_words_split_at_texts():
     w = Words(np.frombuffer(b"ab cd", np.uint8), np.array([0, 1, 1, 4, 5]))
     assert w.counts.tolist() == [1, 0, 2, 1]
