@@ -47,7 +47,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Robust covariances, components and merges have no SQL; the tests compare the rows with a brute-force version.
+#: Robust covariances, components and merges have no SQL. The tests run brute-force versions of the stages one after another.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,12 @@
 """Cases that an operator once left out."""
 
+import collections
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloam.llm import license_scan, quality, url_filter
+from sparkloam.llm import bpe, license_scan, minhash, mixing, quality, url_filter
 
 
 def test_licenses_at_the_threshold(spark):
@@ -97,3 +101,111 @@ def test_documents_of_small_groups_are_judged(spark):
     got = quality.reject_outliers(df, distance_column="distance").collect()
     assert all(r.distance is not None and r.kind == "prose" for r in got)
     assert len(got) > 440
+
+
+def _kept_by_quality(rows):
+    import pyarrow as pa
+
+    x = np.array(quality.counts(pa.array([r["text"] for r in rows])).to_pylist())
+    at = {c: k for k, c in enumerate(quality.COUNTS)}
+    names = [(r["lang"] or "", r["source"] or "") for r in rows]
+    size, langs = collections.Counter(names), collections.Counter(a for a, _ in names)
+    pools = {}
+    for k, (lang, source) in enumerate(names):
+        if size[lang, source] >= quality.LEAST_GROUP:
+            pools[k] = (lang, source)
+        elif langs[lang] >= quality.LEAST_GROUP:
+            pools[k] = (lang,)
+        else:
+            pools[k] = ()
+    kept = []
+    for pool in set(pools.values()):
+        g = x[[n[: len(pool)] == pool for n in names]]
+        if len(g) < quality.LEAST_GROUP:
+            kept += [k for k in pools if pools[k] == pool]
+            continue
+        base = [g[:, at[a]].sum() / g[:, at[b]].sum() for a, b in quality.RATIOS]
+        vectors = lambda c: np.arcsin(np.sqrt(np.clip(np.array([(c[:, at[a]] + quality.PRIOR[b] * z) / (c[:, at[b]] + quality.PRIOR[b]) for (a, b), z in zip(quality.RATIOS, base)]).T, 0, 1)))
+        y = vectors(g)
+        centre = np.median(y, axis=0)
+        cov = np.diag((1.4826 * np.median(abs(y - centre), axis=0)) ** 2)
+        far = lambda v: np.einsum("ij,jk,ik->i", v - centre, np.linalg.inv(cov + quality.RIDGE * np.eye(quality.P)), v - centre)
+        for _ in range(30):
+            near = y[np.argsort(far(y), kind="stable")[: int(np.ceil(quality.SHARE * len(y)))]]
+            q = len(near) / len(y)
+            centre, cov = near.mean(axis=0), np.cov(near.T) * q / quality.chi2(quality.chi2_point(q, quality.P), quality.P + 2)
+        mine = [k for k in pools if pools[k] == pool]
+        kept += [k for k, d in zip(mine, far(vectors(x[mine]))) if d <= quality.LIMIT**2]
+    return [rows[k] for k in sorted(kept)]
+
+
+def _kept_by_likeness(rows):
+    sets = []
+    for r in rows:
+        w = r["text"].lower().split()
+        sets.append(set(zip(w, w[1:])) if len(w) > 1 else set(w))
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            like = rows[a]["text"] == rows[b]["text"] or (sets[a] and len(sets[a] & sets[b]) >= minhash.THRESHOLD * len(sets[a] | sets[b]))
+            if like:
+                x, y = sorted((top(a), top(b)), key=lambda k: rows[k]["doc_id"])
+                up[y] = x
+    return [r for k, r in enumerate(rows) if top(k) == k]
+
+
+def _without_passages(rows):
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        x = r["text"]
+        spans = [m.span() for m in re.finditer(r"[^ \t\n\r\x0b\f]+", x)]
+        w = [x[a:b] for a, b in spans]
+        gone = [False] * len(w)
+        for p in range(len(w) - 49):
+            g = tuple(w[p : p + 50])
+            if g in seen:
+                gone[p : p + 50] = [True] * 50
+            seen.add(g)
+        if any(gone):
+            x = x[: spans[0][0]] + "".join(x[a : spans[q + 1][0] if q + 1 < len(spans) else len(x)] for q, (a, _) in enumerate(spans) if not gone[q])
+        out.append({**r, "text": x, "n_chars": len(x)})
+    return out
+
+
+def test_pipeline_is_brute_force(spark):
+    """The rows of the whole job are those of plain loops, stage after stage, and of DuckDB's mixture and another encoder."""
+    import corpus_pipeline
+    import duckdb
+    import pandas as pd
+    import public_tokenizers as P
+    import tiktoken
+
+    d = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    rows = _without_passages(_kept_by_likeness(_kept_by_quality(rows)))
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_vocabulary()), special_tokens={})
+    want = sorted((i, tuple(enc.encode_ordinary(x))) for i, x in c.sql(mixing.oracle(columns="doc_id, text")).fetchall())
+    got = sorted((r.doc_id, tuple(r.tokens)) for r in corpus_pipeline.run(spark, d).collect())
+    assert got == want
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "src0", None), (2, "", "en", "src0", 0), (2, "", "en", "src0", 0), (None, "one word", None, None, 8), (4, "w " * 30_000, "de", "src1", 60_000), (5, "a b c d", "en", "src0", 7), (5, "a b c d", "en", "src0", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, "")
+            if name != "bpe":
+                assert out.columns == docs.columns
+            some = out
+        assert some.where("not round_trip").count() == 0
