@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -166,6 +166,21 @@ def _pairs(left: pd.DataFrame, right: pd.DataFrame, radius: int, k: int) -> pd.D
     return pd.DataFrame({"_row": q[2][a], "_other": i[2][b], "_cos": like}) if len(a) else empty
 
 
+def keyed(vectors: DataFrame, key: str, column: str, asks: Column | None = None) -> tuple[DataFrame, str, str]:
+    """(_row, _v, and _asks if given) of rows with a key and a vector without nulls, one a key; the key's type, and that of ``_row``."""
+    kind = vectors.schema[key].dataType.simpleString()
+    held = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    used = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull() & ~F.exists(F.coalesce(F.col(column), F.array()), lambda x: x.isNull()))
+    asked = [] if asks is None else [F.max(F.coalesce(asks, F.lit(False))).alias("_asks")]
+    return used.groupBy(F.col(key).cast(held).alias("_row")).agg(F.min(column).alias("_v"), *asked), kind, held
+
+
+def commonest(used: DataFrame) -> tuple[int, int]:
+    """The length that most of the vectors ``_v`` have, and how many have it; (0, 0) if there is none."""
+    sizes = used.groupBy(F.size("_v").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "_d").first()
+    return (sizes._d, sizes._n) if sizes is not None and sizes._d else (0, 0)
+
+
 def neighbours(
     vectors: DataFrame, *, k: int = NEIGHBOURS, radius: int | None = None, bits: int | None = None, rounds: int = ROUNDS, block: int = BLOCK,
     key: str = "vec_id", column: str = "embedding",
@@ -182,19 +197,14 @@ def neighbours(
     rows; an empty table gives an empty one; further columns are not read.
     """
     spark = vectors.sparkSession
-    kind = vectors.schema[key].dataType.simpleString()
-    held = "long" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
+    used, kind, held = keyed(vectors, key, column)
     out = f"{key} {kind}, neighbour_id {kind}, rank int, cosine double"
-    used = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull() & ~F.exists(F.coalesce(F.col(column), F.array()), lambda x: x.isNull()))
-    used = used.groupBy(F.col(key).cast(held).alias("_row")).agg(F.min(column).alias("_v"))
     used = cut(used)
-    sizes = used.groupBy(F.size("_v").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "_d").first()
-    if sizes is None or not sizes._d:
+    dims, n = commonest(used)
+    if not dims:
         return spark.createDataFrame([], out)
-    dims = sizes._d
     bits = bits or max(8, min(64, dims) // 8 * 8)
     used = used.where(F.size("_v") == dims)
-    n = sizes._n
     if dims < bits:
         raise ValueError("a code has at most as many bits as vectors have dimensions")
     radius = RADIUS * bits // 64 if radius is None else radius
