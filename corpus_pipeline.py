@@ -36,7 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return bpe.encode_documents(docs)
+    # The plan holds the codec's tables as literals, 56 MB of the driver on 0.1 GB, for as long as anyone holds the result.
+    return store(bpe.encode_documents(docs))
 
 
 STAGES = [

@@ -209,3 +209,14 @@ def test_pipeline_on_odd_rows(spark):
                 assert out.columns == docs.columns
             some = out
         assert some.where("not round_trip").count() == 0
+
+
+def test_tokens_do_not_hold_the_codec(spark):
+    """The last stage's result is a table: a caller that keeps it keeps none of the codec's literals in the driver."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words and words"), (2, None), (None, ""), (4, "w" * 300)], "doc_id long, text string")
+    out = corpus_pipeline.tokens(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Relation ")
+    assert out.columns == ["doc_id", "tokens", "n_tokens", "round_trip"]
+    assert sorted(map(str, out.collect())) == sorted(map(str, bpe.encode_documents(docs).collect()))
