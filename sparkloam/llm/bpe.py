@@ -3,14 +3,16 @@
 Texts are cut into words by the vocabulary's pattern. A word's bytes become the ids of their pieces, and this array is
 folded: as long as two neighbours together are a piece of the vocabulary, the pair of least rank is merged, leftmost
 first. A piece's id is its rank, so the rank of a pair is the id that it becomes, and pairs of ids are the keys of the
-literal rank map: an array of small maps, chosen by a remainder of the key, since Spark looks through
-the keys of a map one by one. Every merge leaves pieces of the vocabulary, so the pairs of pieces whose join is a piece
+literal rank map: an array of small maps, chosen by bits of the key, since Spark looks through
+the keys of a map one by one. Lambdas are interpreted, and what they mention twice is computed twice: so
+keys are elements of an array and looked up by a lambda over it, and a word's bounds stand in its array as an id that
+joins nothing. Every merge leaves pieces of the vocabulary, so the pairs of pieces whose join is a piece
 are all that is ever looked up.
 
 The distinct words of all documents are counted, and the most frequent ones folded once; what they
-encode to is a literal of the same form. All other words are folded where they stand, by the same
-expression, so the table's size only decides how often a fold is repeated. No word is
-shuffled back to its document, and no document is shuffled.
+encode to are two literals of the same form, a small one and that of the rest. All other words are folded
+where they stand, by the same expression, so the table's size only decides how often a fold is
+repeated. No word is shuffled back to its document, and no document is shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from .common import store, unused
 
-#: Words whose codes are kept in a literal.
-CACHE = 524_288
+#: Words whose codes are kept in literals, and those of them that have one of their own: it stays in a core's cache, where nearly all words are found.
+CACHE, HOT = 524_288, 8_192
 
 #: White space is Unicode's, as the vocabulary's own pattern has it.
 _WS = r"\p{IsWhite_Space}"
@@ -62,9 +64,14 @@ def _values(spark: SparkSession, value: list, kind: str) -> Column:
     return _constant(spark.createDataFrame([(value,)], f"x {kind}").coalesce(1))
 
 
+def _places(n: int) -> int:
+    """The least power of two that is at least ``n``."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def _slot(key: Column, n: int) -> Column:
-    """The place of a string among ``n``."""
-    return F.pmod(F.hash(key), F.lit(n))
+    """The place of a string among ``n``, a power of two."""
+    return F.hash(key).bitwiseAND(F.lit(n - 1))
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -81,10 +88,12 @@ def as_latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
-#: Bits of an id, and a number beyond all ids.
+#: Bits of an id, a number beyond all ids, and the id of the word's bounds, which no piece has.
 _SHIFT = 20
 _NONE = 1 << _SHIFT
-_PRIME = 1_000_003
+_BOUND = _NONE - 1
+#: A pair's key is its left id before its right one; the left one is laid over the right one from this many bits on to choose a map.
+_FOLD = 13
 
 
 class Codec:
@@ -95,30 +104,31 @@ class Codec:
             raise ValueError("a byte-level vocabulary has a piece for every byte")
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks count up from 0")
-        n = 1 << (len(ranks) - 1).bit_length()
-        pairs: list[dict] = [{} for _ in range(4 * n)]
+        if len(ranks) > _BOUND:
+            raise ValueError(f"a vocabulary has at most {_BOUND} pieces")
+        n = 4 * _places(len(ranks))
+        pairs: list[dict] = [{} for _ in range(n)]
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     key = (left << _SHIFT) + right
-                    pairs[key % _PRIME % len(pairs)][key] = rank
-        self.pairs = _values(spark, pairs, "array<map<bigint,bigint>>"), len(pairs)
-        self.bytes = _values(spark, [ranks[bytes([b])] for b in range(256)], "array<bigint>")
+                    pairs[(key ^ key >> _FOLD) & n - 1][key] = (rank << _SHIFT) + left
+        single = [bytes([b]) for b in range(256)]
+        first = [(ranks.get(x + y, _NONE) << _SHIFT) + ranks[x] for x in single for y in single]
+        self.pairs = _values(spark, pairs, "array<map<bigint,bigint>>"), n
+        self.first = _values(spark, first, "array<bigint>")
+        self.last = _values(spark, [(_NONE << _SHIFT) + ranks[x] for x in single], "array<bigint>")
         self.pieces = _values(spark, [p.decode("latin-1") for p in sorted(ranks, key=ranks.__getitem__)], "array<string>")
-        known = spark.createDataFrame([(p.decode("latin-1"), [r]) for p, r in ranks.items()], "_w string, _c array<bigint>")
+        known = spark.createDataFrame([(p.decode("latin-1"), [r]) for p, r in ranks.items()], "_w string, _c array<int>")
         self.whole = _table(spark, known, len(ranks))
-        self.cached: tuple[Column, int] | None = None
+        self.cached: list[tuple[Column, int]] = []
 
-    def merged(self, left: Column, right: Column) -> Column:
-        """The id of the piece that two pieces make together; null if there is none."""
+    def _held(self, pair: Column) -> Column:
+        """A pair's left piece in the state of a fold: what both become, or ``_NONE``, and itself, in one number."""
         maps, n = self.pairs
-        key = F.shiftleft(left, _SHIFT) + right
-        return F.try_element_at(F.get(maps, (key % F.lit(_PRIME) % F.lit(n)).cast("int")), key)
-
-    def _held(self, left: Column, right: Column) -> Column:
-        """A piece in the state of a fold: what it becomes with the next one, and itself, in one number."""
-        return F.shiftleft(F.coalesce(self.merged(left, right), F.lit(_NONE)), _SHIFT) + left
+        found = F.try_element_at(F.get(maps, pair.bitwiseXOR(F.shiftright(pair, _FOLD)).bitwiseAND(F.lit(n - 1))), pair)
+        return F.coalesce(found, F.shiftright(pair, _SHIFT) + F.lit(_NONE << _SHIFT))
 
     def fold(self, word: Column) -> Column:
         """Ids of one word, given byte for character."""
@@ -128,20 +138,20 @@ class Codec:
 
         def step(s: Column, _: Column) -> Column:
             def at(i: Column) -> Column:
-                best = F.shiftright(F.get(s, i - 1), _SHIFT)
-                left = own(F.get(s, i - 2))
-                before = F.when(i > 1, F.array(self._held(left, best))).otherwise(none)
-                return _joined(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), before, F.array(self._held(best, own(F.get(s, i + 1)))), F.slice(s, i + 2, F.size(s)))
+                least = F.get(s, i - 1)
+                best = F.shiftright(least, _SHIFT)
+                pairs = F.array(F.shiftleft(own(F.get(s, i - 2)), _SHIFT) + best, F.shiftleft(best, _SHIFT) + own(F.get(s, i + 1)))
+                merged = _joined(F.slice(s, F.lit(1), i - 2), F.transform(pairs, self._held), F.slice(s, i + 2, F.lit(_NONE * 1024)))
+                return F.when(least < _NONE << _SHIFT, merged).otherwise(s)
 
             # The least of what neighbours would become decides, the leftmost of equal ones: these are the same pair.
-            least = F.array_min(s)
-            return F.when(least < _NONE << _SHIFT, _let(F.array_position(s, least).cast("int"), at)).otherwise(s)
+            return _let(F.array_position(s, F.array_min(s)).cast("int"), at)
 
-        none = F.array().cast("array<bigint>")
-        single = F.transform(F.split(word, ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        bound = F.array(F.lit((_NONE << _SHIFT) + _BOUND))
+        single = F.transform(F.split(word, ""), lambda c: F.ascii(c))
         turns = F.when(F.char_length(word) > 1, F.sequence(F.lit(2), F.char_length(word))).otherwise(F.array().cast("array<int>"))
-        start = _let(single, lambda p: F.transform(p, lambda x, i: self._held(x, F.get(p, i + 1))))
-        folded = F.aggregate(turns, start, step, lambda s: F.transform(s, own))
+        start = _let(single, lambda p: F.transform(p, lambda x, i: F.coalesce(F.get(self.first, F.shiftleft(x, 8) + F.get(p, i + 1)), F.get(self.last, x))))
+        folded = F.aggregate(turns, _joined(bound, start, bound), step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: own(x).cast("int")))
         return F.coalesce(_lookup(self.whole, word), folded)
 
     def encode(self, text: Column) -> Column:
@@ -149,9 +159,9 @@ class Codec:
 
         def code(w: Column) -> Column:
             folded = self.fold(as_latin(w.cast("binary")))
-            return folded if self.cached is None else F.coalesce(_lookup(self.cached, w), folded)
+            return F.coalesce(*(_lookup(table, w) for table in self.cached), folded)
 
-        return F.flatten(F.transform(words(text), code)).cast("array<int>")
+        return F.flatten(F.transform(words(text), code))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ``ids`` stand for; null if an id is null or not of the vocabulary."""
@@ -172,16 +182,19 @@ def codec(spark: SparkSession, docs: DataFrame, path: str | None = None, cache:
         # The frequency from which on there are few enough words: no sort of all of them, and no limit in one task.
         sizes = Window.orderBy(F.col("_n").desc())
         often = found.groupBy("_n").agg(F.count(F.lit(1)).alias("_m")).withColumn("_upto", F.sum("_m").over(sizes))
-        least = often.where(F.col("_upto") <= cache).orderBy("_n").first()
-        if least is not None:
-            top = found.where(F.col("_n") >= least._n).repartition(8)
-            made.cached = _table(spark, top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c")), least._upto)
+        done, below = 0, F.lit(True)
+        for most in (min(HOT, cache), cache):
+            least = often.where(F.col("_upto") <= most).orderBy("_n").first()
+            if least is not None and least._upto > done:
+                top = found.where((F.col("_n") >= least._n) & below).repartition(8)
+                made.cached.append(_table(spark, top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c")), least._upto - done))
+                done, below = least._upto, F.col("_n") < least._n
     return made
 
 
 def _table(spark: SparkSession, coded: DataFrame, size: int) -> tuple[Column, int]:
     """A literal of ``coded`` (_w, _c), of about one word for each of its places."""
-    n = max(1, size)
+    n = _places(size)
     maps = coded.groupBy(_slot(F.col("_w"), n).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_c"))).alias("_m"))
     slots = spark.range(n).select(F.col("id").cast("int").alias("_b")).join(maps, "_b", "left")
     one = slots.agg(F.array_sort(F.collect_list(F.struct("_b", "_m")), lambda x, y: x["_b"] - y["_b"]).alias("_s"))

@@ -250,6 +250,24 @@ def test_bpe_is_tiktoken(docs):
         assert list(r.tokens) == enc.encode_ordinary(texts[r.doc_id]) and r.round_trip
 
 
+def test_bpe_folds_at_bounds_and_from_both_tables(spark, monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_vocabulary()), special_tokens={})
+    seen = [" the"] * 9 + [" of"] * 7 + [" osmentementei"] * 3 + [" byanblentor"] * 2
+    rare = ["q", "qx", "zzz", "\x00\xff", "aaaaaaaaab", "baaaaaaaaa", "Thheheti", " \u6f22\u5b57\u6f22\u5b57", "x" * 31, " laeviree", "the"]
+    docs = spark.createDataFrame([(0, "".join(seen)), *enumerate(rare, 1)], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "HOT", 2)
+    # The two most frequent words have a table of their own, the next two another.
+    assert [n for _, n in bpe.codec(spark, docs, cache=4).cached] == [2, 2] and [n for _, n in bpe.codec(spark, docs, cache=2).cached] == [2]
+    for cache in (0, 4):
+        out = bpe.encode_documents(docs, cache=cache)
+        assert out.schema["tokens"].dataType.simpleString() == "array<int>"
+        got = {r.doc_id: list(r.tokens) for r in out.where("round_trip").collect()}
+        assert got == {i: enc.encode_ordinary(t) for i, t in [(0, "".join(seen)), *enumerate(rare, 1)]}
+
+
 def test_bpe_decodes_only_its_ids(spark):
     made = bpe.Codec(spark, bpe.read_ranks(bpe.default_vocabulary()))
     rows = spark.createDataFrame([([0, 60_000],), ([None],), ([],), (None,)], "ids array<int>")
