@@ -70,7 +70,8 @@ def extract_unique(pages: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     host, stream, key, spans = (unused(x, names) for x in ("_host", "_stream", "_key", "_spans"))
     known = pages.withColumns({host: F.coalesce(host_of(F.col("url")), F.lit("")), stream: stream_of(F.col("html"))})
     known = known.withColumn(key, F.unhex(F.md5(F.concat_ws(" ", F.lit(""), F.col(host), F.col(stream)))))
-    texts = known.where(F.col(stream).isNotNull()).select(
+    # A stream is null where its page is; a filter on the stream itself would compute it once more.
+    texts = known.where(F.col("html").isNotNull()).select(
         F.xxhash64(F.col(host)).alias("_scope"), F.lit(None).cast("long").alias("_ord"), F.col(key).alias("_key"), F.col(stream).alias("_text")
     )
     found = repeated_spans(texts, length, gram, first_stays=False).select(F.col("_key").alias(key), F.col("_spans").alias(spans))

@@ -484,7 +484,8 @@ def _found(texts: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
     """All occurrences of repeated fingerprints, with their contexts."""
     spark = texts.sparkSession
     # The first half of a text's MD5 stands for it here; what it can't tell apart is told apart by the whole.
-    named = texts.withColumn("_id", F.conv(F.hex(F.substring("_key", 1, 8)), 16, -10).cast("long"))
+    # A name that is never null, so that the join puts no filter on it before the text, which would compute the text once more.
+    named = texts.withColumn("_id", F.coalesce(F.conv(F.hex(F.substring("_key", 1, 8)), 16, -10).cast("long"), F.lit(0)))
     bins = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flat = named.select("_scope", "_id", "_text").mapInArrow(lambda it: _prints(it, length, gram, bins, places), "_bin int, _blob binary, _id long, _at array<int>")
     often = flat.repartition("_bin").sortWithinPartitions("_bin").mapInArrow(lambda it: _repeated(it, places), "_bin int, _blob binary, _id long, _at array<int>")

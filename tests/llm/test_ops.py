@@ -291,6 +291,20 @@ def test_html_is_brute_force(spark):
         assert got[r.page_id] == html_extract.plain_text(_without(r.s, gone))
 
 
+def test_html_streams_are_computed_once_a_pass(spark, monkeypatch):
+    plans, store = [], suffix_array.store
+    monkeypatch.setattr(suffix_array, "store", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    menu = "<p>" + "".join(f"item{i} " for i in range(18))
+    rows = [(1, "http://a/1", menu + "one"), (2, "http://a/2", menu + "two"), (3, "http://a/3", None), (4, None, "")]
+    out = html_extract.extract_unique(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {1: "one", 2: "two", 3: None, 4: ""}
+    plans = [p for p in plans if "regexp_replace" in p]
+    assert len(plans) == 2
+    for plan in plans:
+        assert [x.split()[0] for x in (line.lstrip(" :+-") for line in plan.splitlines()) if "regexp_replace" in x] == ["Project"]
+        assert plan.count("regexp_replace(regexp_replace(") == 1
+
+
 def test_html_cases(spark):
     rows = [(1, None, "<p>a &amp; b</p>"), (2, "http://h/x", None), (3, "http://h/x", ""), (4, "http://h/y", "<script>var t='</p>';"), (5, "no url", "x <b title='>'>y</b><!-- c"), (5, "no url", "x <b title='>'>y</b><!-- c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("_spans", F.lit(1))
