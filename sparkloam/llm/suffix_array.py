@@ -264,7 +264,8 @@ def _prints(batches: Iterator[pa.RecordBatch], length: int, gram: int, bins: int
         often = _varies(number, ids, pos, places)[number]
         # Which range a row travels with is of no matter; it is spread.
         yield _asked(ids[often], pos[often], np.arange(len(f)) % bins)
-        head = np.concatenate([[True], number[1:] != number[:-1]])
+        # Places within one text don't ask for each other unless ``places``: another task's text may ask for all of them.
+        head = np.concatenate([[True], number[1:] != number[:-1]]) | ~often
         f, ids, pos, often = f[head], ids[head], pos[head], often[head]
         edge = np.append(np.searchsorted(f, np.array([b * 2**64 // bins for b in range(bins)], U64)), len(f))
         rows = [b for b in range(bins) if edge[b + 1] > edge[b]]

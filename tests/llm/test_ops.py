@@ -305,6 +305,13 @@ def test_html_streams_are_computed_once_a_pass(spark, monkeypatch):
         assert plan.count("regexp_replace(regexp_replace(") == 1
 
 
+def test_html_runs_that_repeat_within_pages_of_several_tasks(spark):
+    rows = [(i, f"http://a/{i}", "<p>" + "menu item " * 9 + own) for i, own in ((1, "one"), (2, "two"))]
+    for tasks in (1, 2):
+        pages = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "page_id long, url string, html string")
+        assert {r.page_id: r.text for r in html_extract.extract_unique(pages).collect()} == {1: "one", 2: "two"}
+
+
 def test_html_cases(spark):
     rows = [(1, None, "<p>a &amp; b</p>"), (2, "http://h/x", None), (3, "http://h/x", ""), (4, "http://h/y", "<script>var t='</p>';"), (5, "no url", "x <b title='>'>y</b><!-- c"), (5, "no url", "x <b title='>'>y</b><!-- c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("_spans", F.lit(1))
