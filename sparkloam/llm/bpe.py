@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import store, unused
+from .common import _release, store, unused
 
 #: Words whose codes are kept in literals, and those of them that have one of their own: it stays in a core's cache, where nearly all words are found.
 CACHE, HOT = 524_288, 8_192
+#: Words for each map of a literal of more than ``HOT`` words: a map and its empty places take half as many bytes as a word, in the plan and in each copy that the driver ships.
+CROWD = 4
 
 #: White space is Unicode's, as the vocabulary's own pattern has it.
 _WS = r"\p{IsWhite_Space}"
@@ -54,7 +56,8 @@ def _constant(rows: DataFrame) -> Column:
     tables would take the optimiser seconds for every mention.
     """
     plan = rows._jdf.queryExecution()
-    data = plan.executedPlan().executeCollect()[0].getArray(0)
+    # Of its own bytes, not a part of the row's: such a part is copied whenever a plan that has it is shipped.
+    data = plan.executedPlan().executeCollect()[0].getArray(0).copy()
     jvm = rows.sparkSession._jvm.org.apache.spark.sql
     literal = jvm.catalyst.expressions.Literal(data, plan.analyzed().schema().apply(0).dataType())
     return ClassicColumn(jvm.classic.ExpressionUtils.column(literal))
@@ -189,12 +192,13 @@ def codec(spark: SparkSession, docs: DataFrame, path: str | None = None, cache:
                 top = found.where((F.col("_n") >= least._n) & below).repartition(8)
                 made.cached.append(_table(spark, top.select("_w", made.fold(as_latin(F.col("_w").cast("binary"))).alias("_c")), least._upto - done))
                 done, below = least._upto, F.col("_n") < least._n
+        _release(spark)  # What made the tables goes before the plan that has them is shipped.
     return made
 
 
 def _table(spark: SparkSession, coded: DataFrame, size: int) -> tuple[Column, int]:
-    """A literal of ``coded`` (_w, _c), of about one word for each of its places."""
-    n = _places(size)
+    """A literal of ``coded`` (_w, _c), of about one word for each of its places, or ``CROWD`` in a large one."""
+    n = _places(max(min(size, HOT), -(-size // CROWD)))
     maps = coded.groupBy(_slot(F.col("_w"), n).alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_c"))).alias("_m"))
     slots = spark.range(n).select(F.col("id").cast("int").alias("_b")).join(maps, "_b", "left")
     one = slots.agg(F.array_sort(F.collect_list(F.struct("_b", "_m")), lambda x, y: x["_b"] - y["_b"]).alias("_s"))

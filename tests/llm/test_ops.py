@@ -268,6 +268,20 @@ def test_bpe_folds_at_bounds_and_from_both_tables(spark, monkeypatch):
         assert got == {i: enc.encode_ordinary(t) for i, t in [(0, "".join(seen)), *enumerate(rare, 1)]}
 
 
+def test_bpe_literals_hold_their_own_bytes_and_few_places(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "HOT", 64)
+    words = [f" word{i}" for i in range(1000)]
+    table, n = bpe._table(spark, spark.createDataFrame([(w, [i, i + 1]) for i, w in enumerate(words)], "_w string, _c array<int>"), len(words))
+    # Four words a place beyond HOT; at one a place the data took a fourth more.
+    assert n == 256 and bpe._table(spark, spark.createDataFrame([(w, [1]) for w in words[:64]], "_w string, _c array<int>"), 64)[1] == 64
+    data = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(table._jc).value()
+    # A part of a row's bytes would be copied each time that a plan with it is shipped.
+    assert len(data.getBaseObject()) == data.getSizeInBytes() < 75 * len(words)
+    rows = spark.createDataFrame([(w,) for w in [*words, " word", "", " word1000"]], "w string")
+    got = {r.w: r.c for r in rows.select("w", bpe._lookup((table, n), F.col("w")).alias("c")).collect()}
+    assert got == {w: [i, i + 1] for i, w in enumerate(words)} | {" word": None, "": None, " word1000": None}
+
+
 def test_bpe_decodes_only_its_ids(spark):
     made = bpe.Codec(spark, bpe.read_ranks(bpe.default_vocabulary()))
     rows = spark.createDataFrame([([0, 60_000],), ([None],), ([],), (None,)], "ids array<int>")
