@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import scratch as scratch
 from ..spec import DATETIME, F64, I64, JSON, STRING, TableSpec
 
 EVENTS = TableSpec(
@@ -25,15 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared one; a session on one machine may have none, as in tests, and gets a folder that goes with it."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="sparkloam-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    return f"{named}/{name}-{uuid.uuid4().hex}"

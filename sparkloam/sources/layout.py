@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import timeline
 from ..functions.rounding import round_columns
 from ..spec import TableSpec
+from .scratch import beside, delete, scratch
 
 CHUNK = "chunk_no"
 #: Stored with every row, and the same in all rows of a chunk: Parquet keeps a value once for a run of them.
@@ -16,6 +17,8 @@ ROWS = "chunk_rows"
 #: Distinct index keys up to which a table is partitioned by directory; with more it is clustered by ranges of the key.
 DIRECTORIES = 1_000
 DIR = "__dir_"
+#: A row's place in its group.
+PLACE = "__place"
 
 
 def _time(spec: TableSpec) -> Column | None:
@@ -31,14 +34,45 @@ def order_of(spec: TableSpec) -> list[Column]:
     return [*([] if time is None else [time]), *([F.col(f"`{spec.tiebreak}`")] if spec.tiebreak else [])]
 
 
-def number_chunks(df: DataFrame, spec: TableSpec) -> DataFrame:
+def number_chunks(df: DataFrame, spec: TableSpec, stage: str | None = None) -> DataFrame:
     """``df`` with ``chunk_no``: the n-th ``chunk_size`` rows of an index group, in time order, are chunk n from 0.
 
-    Without timestamp and tiebreak the order within a group is any.
+    Without timestamp and tiebreak the order within a group is any; rows are then stored in the folder ``stage`` first, with their places.
     """
-    order = order_of(spec) or [F.monotonically_increasing_id()]
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in spec.index]).orderBy(*order)
-    return df.withColumn(CHUNK, F.floor((F.row_number().over(w) - 1) / spec.chunk_size).cast("long"))
+    return _numbered(df, spec, stage)[0]
+
+
+def _numbered(df: DataFrame, spec: TableSpec, stage: str | None) -> tuple[DataFrame, int | None]:
+    """``df`` with ``chunk_no``, and its number of rows if groups are spread over tasks; None if each lies together."""
+    keys, order = [F.col(f"`{c}`") for c in spec.index], order_of(spec)
+    if not order:
+        df, order = _stored(df.withColumn(PLACE, F.monotonically_increasing_id()), stage), [F.col(PLACE)]
+        if not keys:
+            return _chunked(_in_sequence(df), spec), df.count()
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return _chunked(df.withColumn(PLACE, F.row_number().over(w) - 1), spec), None
+
+
+def _chunked(placed: DataFrame, spec: TableSpec) -> DataFrame:
+    return placed.withColumn(CHUNK, F.floor(F.col(PLACE) / spec.chunk_size).cast("long")).drop(PLACE)
+
+
+def _stored(df: DataFrame, stage: str | None) -> DataFrame:
+    """``df`` as a table in ``stage``, of which later steps read single columns; what it computes is computed once."""
+    spark = df.sparkSession
+    path = f"{stage or scratch(spark, 'rows')}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _in_sequence(stored: DataFrame) -> DataFrame:
+    """Places from 0 without a gap, from those by task and row of ``monotonically_increasing_id``: no row moves for it."""
+    task, row = F.shiftright(PLACE, 33), F.col(PLACE).bitwiseAND(F.lit(2**33 - 1))
+    # One row a task.
+    found = stored.groupBy(task.alias("__task")).agg((F.max(row) + 1).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.select("__task", F.coalesce(before, F.lit(0)).alias("__before"))
+    return stored.join(F.broadcast(found), task == F.col("__task")).withColumn(PLACE, F.col("__before") + row).drop("__task", "__before")
 
 
 def _line(spec: TableSpec) -> bool:
@@ -57,7 +91,7 @@ def bounds_of(spec: TableSpec) -> tuple[str, ...]:
 
 
 def with_bounds(chunked: DataFrame, spec: TableSpec) -> DataFrame:
-    """``chunked`` with what there is to know of a row's chunk. Rows of an index key lie together already, so nothing is shuffled."""
+    """``chunked`` with what there is to know of a row's chunk. Rows of a chunk lie together already, so nothing is shuffled."""
     w = Window.partitionBy(*[F.col(f"`{c}`") for c in spec.index], CHUNK)
     out = {ROWS: F.count(F.lit(1)).over(w)}
     if bounds_of(spec):
@@ -66,14 +100,18 @@ def with_bounds(chunked: DataFrame, spec: TableSpec) -> DataFrame:
     return chunked.withColumns(out)
 
 
-def prepare(df: DataFrame, spec: TableSpec) -> DataFrame:
+def prepare(df: DataFrame, spec: TableSpec, stage: str | None = None) -> DataFrame:
     """Rows as they are stored: runs collapsed on the values as given, chunks numbered, then fields rounded."""
     df = df.select(*[F.col(f"`{c}`") for c in spec.fields])
-    if spec.timestamp and spec.fields[spec.timestamp].kind == "timeline":
+    if _line(spec):
         df = timeline.collapse_runs(df, spec)
         bad = F.assert_true(F.size(F.col(f"`{spec.timestamp}`")) > 0, F.lit("a stored row has a timeline that is not empty"))
         df = df.where(F.coalesce(bad.cast("boolean"), F.lit(True)))
-    df = with_bounds(number_chunks(df, spec), spec)
+    df, rows = _numbered(df, spec, stage)
+    if not spec.index and not order_of(spec):
+        df = df.withColumn(ROWS, F.least(F.lit(spec.chunk_size), F.lit(rows) - F.col(CHUNK) * spec.chunk_size).cast("long"))
+    else:
+        df = with_bounds(df, spec)
     # Bounds are those of the values before rounding, which come from the same columns otherwise.
     return df.withColumns(round_columns(spec)) if round_columns(spec) else df
 
@@ -81,24 +119,29 @@ def prepare(df: DataFrame, spec: TableSpec) -> DataFrame:
 def write(df: DataFrame, spec: TableSpec, path: str, *, by_directory: bool | None = None, mode: str = "errorifexists") -> None:
     """Write a table. With few index keys each has a directory, which filters on the index prune; with many, files
     hold ranges of the key, whose statistics prune. Either way a file is sorted by index, chunk and time, and its size
-    follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several, small ones share tasks."""
-    stored = prepare(df, spec)
+    follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several, small ones share tasks.
+    Rows without index, timestamp and tiebreak stay where they are; they are stored in a folder beside ``path`` on the way."""
     keys = [F.col(f"`{c}`") for c in spec.index]
     if by_directory is None:
         by_directory = bool(keys) and df.select(*keys).distinct().limit(DIRECTORIES + 1).count() <= DIRECTORIES
-    if by_directory and keys:
-        stored = stored.hint("rebalance", *keys).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
-    elif keys:
-        stored = stored.repartitionByRange(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
-    elif order_of(spec):
-        stored = stored.repartitionByRange(*order_of(spec)).sortWithinPartitions(*order_of(spec))
-    if by_directory:
-        stored = stored.select("*", *[F.concat(F.lit("_"), F.col(f"`{c}`")).alias(_folder(c, spec)) for c in spec.index if _folder(c, spec) != c])
-        stored = stored.drop(*[c for c in spec.index if _folder(c, spec) != c])
-    out = stored.write.mode(mode).option("compression", "zstd")
-    if by_directory and keys:
-        out = out.partitionBy(*[_folder(c, spec) for c in spec.index])
-    out.parquet(path)
+    stage = beside(path)
+    try:
+        stored = prepare(df, spec, stage)
+        if by_directory and keys:
+            stored = stored.hint("rebalance", *keys).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
+        elif keys:
+            stored = stored.repartitionByRange(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
+        elif order_of(spec):
+            stored = stored.repartitionByRange(*order_of(spec)).sortWithinPartitions(*order_of(spec))
+        if by_directory:
+            stored = stored.select("*", *[F.concat(F.lit("_"), F.col(f"`{c}`")).alias(_folder(c, spec)) for c in spec.index if _folder(c, spec) != c])
+            stored = stored.drop(*[c for c in spec.index if _folder(c, spec) != c])
+        out = stored.write.mode(mode).option("compression", "zstd")
+        if by_directory and keys:
+            out = out.partitionBy(*[_folder(c, spec) for c in spec.index])
+        out.parquet(path)
+    finally:
+        delete(df.sparkSession, stage)
 
 
 def _folder(name: str, spec: TableSpec) -> str:

@@ -69,3 +69,20 @@ def test_texts_as_index(spark, tmp_path):
             assert [r.v for r in scan(spark, spec, path, {"k": k, "u": u}).collect()] == [v]
     plan = scan(spark, spec, str(tmp_path / "True"), {"k": "x"})._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "__dir_k" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_rows_without_order_are_numbered_where_they_are(spark, tmp_path):
+    spec = TableSpec({"v": I64}, chunk_size=7)
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id % 3 v").where("spark_partition_id() <> 2")
+    for name, df in (("some", rows), ("none", rows.limit(0))):
+        layout.write(df, spec, str(tmp_path / name))
+        n = df.count()
+        back = layout.read(spark, spec, str(tmp_path / name))
+        assert sorted(r.v for r in back.collect()) == sorted(r.v for r in df.collect())
+        meta = sorted((m.chunk_no, m.n) for m in layout.chunk_metadata(back, spec).collect())
+        assert meta == [(k, min(7, n - 7 * k)) for k in range(-(-n // 7))]
+    plan = layout.prepare(rows, spec)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan.split("BroadcastExchange")[0] and "Window" not in plan.split("BroadcastExchange")[0] and "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    tasks = layout.prepare(rows, spec).selectExpr("spark_partition_id() p").groupBy("p").count().collect()
+    assert max(t["count"] for t in tasks) < rows.count()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "some"]
