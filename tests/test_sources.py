@@ -83,6 +83,14 @@ def test_rows_without_order_are_numbered_where_they_are(spark, tmp_path):
         assert meta == [(k, min(7, n - 7 * k)) for k in range(-(-n // 7))]
     plan = layout.prepare(rows, spec)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" not in plan.split("BroadcastExchange")[0] and "Window" not in plan.split("BroadcastExchange")[0] and "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
-    tasks = layout.prepare(rows, spec).selectExpr("spark_partition_id() p").groupBy("p").count().collect()
-    assert max(t["count"] for t in tasks) < rows.count()
+    files = spark.read.parquet(str(tmp_path / "some")).selectExpr("input_file_name() f").groupBy("f").count().collect()
+    assert max(f["count"] for f in files) < rows.count()
     assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "some"]
+
+
+def test_rounded_rows_without_order_stay_spread(spark, tmp_path):
+    old, new = TableSpec({"id": I64, "v": F64}, float_round=1), TableSpec({"id": I64, "v": I64})
+    rows = spark.range(0, 400, 1, 4).selectExpr("id", "id - 200.04D v")
+    layout.write(rows, old, str(tmp_path / "t"))
+    assert sorted(map(tuple, evolve.read_versions(spark, new, [(old, str(tmp_path / "t"))]).collect())) == [(i, i - 200) for i in range(400)]
+    assert max(r["count"] for r in spark.read.parquet(str(tmp_path / "t")).selectExpr("input_file_name() f").groupBy("f").count().collect()) < 400
