@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ DIRECTORIES = 1_000
 DIR = "__dir_"
 #: A row's place in its group.
 PLACE = "__place"
+#: Rows up to which an index group is numbered in one task. Tables with larger ones are sorted in ranges of about as many.
+RANGE_ROWS = 131_072
+#: Rows that a task sorts and writes where ``spark.sql.shuffle.partitions`` would give it more.
+TASK_ROWS = 524_288
 
 
 def _time(spec: TableSpec) -> Column | None:
@@ -37,7 +43,8 @@ def order_of(spec: TableSpec) -> list[Column]:
 def number_chunks(df: DataFrame, spec: TableSpec, stage: str | None = None) -> DataFrame:
     """``df`` with ``chunk_no``: the n-th ``chunk_size`` rows of an index group, in time order, are chunk n from 0.
 
-    Without timestamp and tiebreak the order within a group is any; rows are then stored in the folder ``stage`` first, with their places.
+    Without timestamp and tiebreak the order within a group is any. Rows of a table with large groups, or with neither index nor order,
+    are stored in the folder ``stage`` first, with their places.
     """
     return _numbered(df, spec, stage)[0]
 
@@ -45,11 +52,13 @@ def number_chunks(df: DataFrame, spec: TableSpec, stage: str | None = None) -> D
 def _numbered(df: DataFrame, spec: TableSpec, stage: str | None) -> tuple[DataFrame, int | None]:
     """``df`` with ``chunk_no``, and its number of rows if groups are spread over tasks; None if each lies together."""
     keys, order = [F.col(f"`{c}`") for c in spec.index], order_of(spec)
-    if not order:
-        df, order = _stored(df.withColumn(PLACE, F.monotonically_increasing_id()), stage), [F.col(PLACE)]
-        if not keys:
-            return _chunked(_in_sequence(df), spec), df.count()
-    w = Window.partitionBy(*keys).orderBy(*order)
+    if not order and not keys:
+        df = _stored(df.withColumn(PLACE, F.monotonically_increasing_id()), stage)
+        return _chunked(_in_sequence(df), spec), df.count()
+    rows, most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.sum("__n"), F.max("__n")).first()
+    if (most or 0) > RANGE_ROWS:
+        return _chunked(_by_ranges(df, keys, order, rows, stage), spec), rows
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.monotonically_increasing_id()]))
     return _chunked(df.withColumn(PLACE, F.row_number().over(w) - 1), spec), None
 
 
@@ -60,7 +69,7 @@ def _chunked(placed: DataFrame, spec: TableSpec) -> DataFrame:
 def _stored(df: DataFrame, stage: str | None) -> DataFrame:
     """``df`` as a table in ``stage``, of which later steps read single columns; what it computes is computed once."""
     spark = df.sparkSession
-    path = f"{stage or scratch(spark, 'rows')}/rows"
+    path = f"{stage or scratch(spark, 'rows')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,6 +84,23 @@ def _in_sequence(stored: DataFrame) -> DataFrame:
     return stored.join(F.broadcast(found), task == F.col("__task")).withColumn(PLACE, F.col("__before") + row).drop("__task", "__before")
 
 
+def _by_ranges(df: DataFrame, keys: list[Column], order: list[Column], rows: int, stage: str | None) -> DataFrame:
+    """Places from 0 by ``order`` within groups of any size: tasks sort ranges of keys and order, which are stored as they
+    lie, and a row's place is that in its range and what its group has in ranges before."""
+    by = [*keys, *order, F.col(PLACE)]  # ties lie in several ranges too
+    sorted_rows = df.withColumn(PLACE, F.monotonically_increasing_id()).repartitionByRange(rows // RANGE_ROWS + 1, *by).sortWithinPartitions(*by)
+    stored = _stored(sorted_rows.withColumn(PLACE, F.monotonically_increasing_id()), stage)
+    names = [f"__k{i}" for i in range(len(keys))]
+    task, row = F.shiftright(PLACE, 33), F.col(PLACE).bitwiseAND(F.lit(2**33 - 1))
+    parts = stored.groupBy(*[c.alias(n) for c, n in zip(keys, names)], task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"), F.min(row).alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*names).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*names, "__task", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__more"))
+    same = task == F.col("__task")
+    for c, n in zip(keys, names):
+        same = same & c.eqNullSafe(F.col(n))
+    return stored.join(parts, same).withColumn(PLACE, row + F.col("__more")).drop("__task", "__more", *names)
+
+
 def _line(spec: TableSpec) -> bool:
     return spec.timestamp is not None and spec.fields[spec.timestamp].kind == "timeline"
 
@@ -102,32 +128,42 @@ def with_bounds(chunked: DataFrame, spec: TableSpec) -> DataFrame:
 
 def prepare(df: DataFrame, spec: TableSpec, stage: str | None = None) -> DataFrame:
     """Rows as they are stored: runs collapsed on the values as given, chunks numbered, then fields rounded."""
+    return _prepared(df, spec, stage)[0]
+
+
+def _prepared(df: DataFrame, spec: TableSpec, stage: str | None) -> tuple[DataFrame, bool]:
+    """``prepare``, and whether rows lie in tasks as they are to be written."""
     df = df.select(*[F.col(f"`{c}`") for c in spec.fields])
     if _line(spec):
         df = timeline.collapse_runs(df, spec)
         bad = F.assert_true(F.size(F.col(f"`{spec.timestamp}`")) > 0, F.lit("a stored row has a timeline that is not empty"))
-        df = df.where(F.coalesce(bad.cast("boolean"), F.lit(True)))
+        df = _stored(df.where(F.coalesce(bad.cast("boolean"), F.lit(True))), stage)
     df, rows = _numbered(df, spec, stage)
     if not spec.index and not order_of(spec):
         df = df.withColumn(ROWS, F.least(F.lit(spec.chunk_size), F.lit(rows) - F.col(CHUNK) * spec.chunk_size).cast("long"))
+    elif rows is not None:
+        usual, wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1
+        df = with_bounds(df.repartitionByRange(*([wanted] if wanted > usual else []), *[F.col(f"`{c}`") for c in spec.index], CHUNK), spec)
     else:
         df = with_bounds(df, spec)
     # Bounds are those of the values before rounding, which come from the same columns otherwise.
-    return df.withColumns(round_columns(spec)) if round_columns(spec) else df
+    return (df.withColumns(round_columns(spec)) if round_columns(spec) else df), rows is not None
 
 
 def write(df: DataFrame, spec: TableSpec, path: str, *, by_directory: bool | None = None, mode: str = "errorifexists") -> None:
     """Write a table. With few index keys each has a directory, which filters on the index prune; with many, files
     hold ranges of the key, whose statistics prune. Either way a file is sorted by index, chunk and time, and its size
     follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several, small ones share tasks.
-    Rows without index, timestamp and tiebreak stay where they are; they are stored in a folder beside ``path`` on the way."""
+    Rows without index, timestamp and tiebreak stay where they are. These and tables with large index groups are stored in a folder beside ``path`` on the way."""
     keys = [F.col(f"`{c}`") for c in spec.index]
     if by_directory is None:
         by_directory = bool(keys) and df.select(*keys).distinct().limit(DIRECTORIES + 1).count() <= DIRECTORIES
     stage = beside(path)
     try:
-        stored = prepare(df, spec, stage)
-        if by_directory and keys:
+        stored, spread = _prepared(df, spec, stage)
+        if spread:
+            stored = stored.sortWithinPartitions(*keys, CHUNK, *order_of(spec)) if keys or order_of(spec) else stored
+        elif by_directory and keys:
             stored = stored.hint("rebalance", *keys).sortWithinPartitions(*keys, CHUNK, *order_of(spec))
         elif keys:
             stored = stored.repartitionByRange(*keys, CHUNK).sortWithinPartitions(*keys, CHUNK, *order_of(spec))

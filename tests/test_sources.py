@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from sparkloam.sources import evolve, layout
 from sparkloam.sources.scan import scan
 from sparkloam.spec import DATETIME, F64, I64, STRING, TableSpec, Timeline
@@ -94,3 +96,39 @@ def test_rounded_rows_without_order_stay_spread(spark, tmp_path):
     layout.write(rows, old, str(tmp_path / "t"))
     assert sorted(map(tuple, evolve.read_versions(spark, new, [(old, str(tmp_path / "t"))]).collect())) == [(i, i - 200) for i in range(400)]
     assert max(r["count"] for r in spark.read.parquet(str(tmp_path / "t")).selectExpr("input_file_name() f").groupBy("f").count().collect()) < 400
+
+
+def test_large_groups_are_numbered_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE_ROWS", 20, raising=False)
+    monkeypatch.setattr(layout, "TASK_ROWS", 50, raising=False)
+    at = [None if i % 97 == 0 else datetime(2024, 1, 1) + timedelta(minutes=i * 37 % 300) for i in range(1000)]
+    rows = [(None if i % 5 == 0 else ["a", "", "b"][i % 3], at[i], (i * 7919) % 1000) for i in range(1000)]
+    for index in (("k",), ()):
+        spec = TableSpec({"k": STRING, "at": DATETIME, "n": I64}, index=index, timestamp="at", chunk_size=7, tiebreak="n")
+        groups = {}
+        for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or datetime.min, r[2])):
+            groups.setdefault(r[0] if index else 0, []).append(r)
+        want = {r: k // 7 for g in groups.values() for k, r in enumerate(g)}
+        df = spark.createDataFrame(rows, spec.schema()).repartition(3)
+        got = layout.number_chunks(df, spec)
+        assert {(r.k, r.at, r.n): r.chunk_no for r in got.collect()} == want and got.count() == 1000
+        for by_directory in (True, False) if index else (False,):
+            path = str(tmp_path / f"{len(index)}{by_directory}")
+            layout.write(df.fillna("", ["k"]) if by_directory else df, spec, path, by_directory=by_directory)
+            chunks = {}
+            for r in layout.read(spark, spec, path).collect():
+                chunks.setdefault((r.k if index else 0, r.chunk_no), []).append(r)
+            assert sum(map(len, chunks.values())) == 1000
+            for part in chunks.values():
+                times = [r.at for r in part if r.at is not None]
+                assert {(r.chunk_rows, r.start_at, r.end_at) for r in part} == {(len(part), min(times, default=None), max(times, default=None))}
+            # No task has a whole group.
+            assert max(r["count"] for r in spark.read.parquet(path).selectExpr("input_file_name() f").groupBy("f").count().collect()) < 200
+
+
+def test_large_groups_without_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE_ROWS", 20, raising=False)
+    spec = TableSpec({"k": STRING, "v": I64}, index=("k",), chunk_size=7)
+    layout.write(spark.range(0, 500, 1, 4).selectExpr("if(id % 5 = 0, 'a', 'b') k", "1L v"), spec, str(tmp_path / "t"))
+    meta = sorted(layout.chunk_metadata(layout.read(spark, spec, str(tmp_path / "t")), spec).collect())
+    assert [(m.k, m.chunk_no, m.n) for m in meta] == [(k, c, min(7, n - 7 * c)) for k, n in (("a", 100), ("b", 400)) for c in range(-(-n // 7))]
