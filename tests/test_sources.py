@@ -132,3 +132,15 @@ def test_large_groups_without_order(spark, tmp_path, monkeypatch):
     layout.write(spark.range(0, 500, 1, 4).selectExpr("if(id % 5 = 0, 'a', 'b') k", "1L v"), spec, str(tmp_path / "t"))
     meta = sorted(layout.chunk_metadata(layout.read(spark, spec, str(tmp_path / "t")), spec).collect())
     assert [(m.k, m.chunk_no, m.n) for m in meta] == [(k, c, min(7, n - 7 * c)) for k, n in (("a", 100), ("b", 400)) for c in range(-(-n // 7))]
+
+
+def test_large_group_of_an_empty_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "RANGE_ROWS", 20, raising=False)
+    monkeypatch.setattr(layout, "TASK_ROWS", 50, raising=False)
+    spec = TableSpec({"k": STRING, "n": I64}, index=("k",), chunk_size=7, tiebreak="n")
+    rows = spark.range(0, 600, 1, 3).selectExpr("if(id % 6 = 0, 'x', '') k", "id n")
+    for by_directory in (True, False):
+        path = str(tmp_path / str(by_directory))
+        layout.write(rows, spec, path, by_directory=by_directory)
+        assert sorted(r.n for r in scan(spark, spec, path, {"k": ""}, ["n"]).collect()) == [i for i in range(600) if i % 6]
+        assert max(r["count"] for r in spark.read.parquet(path).selectExpr("input_file_name() f").groupBy("f").count().collect()) < 250
