@@ -23,7 +23,7 @@ DIR = "__dir_"
 PLACE = "__place"
 #: Rows up to which an index group is numbered in one task. Tables with larger ones are sorted in ranges of about as many.
 RANGE_ROWS = 131_072
-#: Rows that a task sorts and writes where ``spark.sql.shuffle.partitions`` would give it more.
+#: Rows that a task sorts and writes of a table with large groups.
 TASK_ROWS = 524_288
 
 
@@ -142,8 +142,7 @@ def _prepared(df: DataFrame, spec: TableSpec, stage: str | None) -> tuple[DataFr
     if not spec.index and not order_of(spec):
         df = df.withColumn(ROWS, F.least(F.lit(spec.chunk_size), F.lit(rows) - F.col(CHUNK) * spec.chunk_size).cast("long"))
     elif rows is not None:
-        usual, wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1
-        df = with_bounds(df.repartitionByRange(*([wanted] if wanted > usual else []), *[F.col(f"`{c}`") for c in spec.index], CHUNK), spec)
+        df = with_bounds(df.repartitionByRange(rows // TASK_ROWS + 1, *[F.col(f"`{c}`") for c in spec.index], CHUNK), spec)
     else:
         df = with_bounds(df, spec)
     # Bounds are those of the values before rounding, which come from the same columns otherwise.
@@ -153,7 +152,7 @@ def _prepared(df: DataFrame, spec: TableSpec, stage: str | None) -> tuple[DataFr
 def write(df: DataFrame, spec: TableSpec, path: str, *, by_directory: bool | None = None, mode: str = "errorifexists") -> None:
     """Write a table. With few index keys each has a directory, which filters on the index prune; with many, files
     hold ranges of the key, whose statistics prune. Either way a file is sorted by index, chunk and time, and its size
-    follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several, small ones share tasks.
+    follows ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: a large key is spread over several (of about ``TASK_ROWS`` rows), small ones share tasks.
     Rows without index, timestamp and tiebreak stay where they are. These and tables with large index groups are stored in a folder beside ``path`` on the way."""
     keys = [F.col(f"`{c}`") for c in spec.index]
     if by_directory is None:
